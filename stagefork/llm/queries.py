@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, secrets, simhash
 
 QUERIES = {
+    "op3_simhash": simhash.op3_simhash,
+    "op5_secret_scan": secrets.op5_secret_scan,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
 }
 SQL = {
