@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, secrets, simhash
+from . import exact_dedup, mixing, secrets, simhash
 
 QUERIES = {
     "op3_simhash": simhash.op3_simhash,
     "op5_secret_scan": secrets.op5_secret_scan,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op9_mix": mixing.op9_mix,
 }
 SQL = {
     "op6_exact_dedup": exact_dedup.OP6_SQL,
