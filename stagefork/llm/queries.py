@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, secrets, simhash
+from . import ann, exact_dedup, mixing, quality, secrets, simhash, url_filter
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
+    "op2_nearest": ann.op2_nearest,
     "op3_simhash": simhash.op3_simhash,
+    "op4_url_filter": url_filter.op4_url_filter,
     "op5_secret_scan": secrets.op5_secret_scan,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op9_mix": mixing.op9_mix,
