@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, exact_dedup, mixing, quality, secrets, simhash, url_filter
+from . import ann, exact_dedup, line_dedup, mixing, quality, secrets, simhash, url_filter
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_secret_scan": secrets.op5_secret_scan,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op9_mix": mixing.op9_mix,
+    "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 SQL = {
     "op6_exact_dedup": exact_dedup.OP6_SQL,
