@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, exact_dedup, line_dedup, lm_score, mixing, quality, secrets, simhash, url_filter
+from . import ann, exact_dedup, line_dedup, lm_score, mixing, pieces, quality, secrets, simhash, url_filter
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_url_filter": url_filter.op4_url_filter,
     "op5_secret_scan": secrets.op5_secret_scan,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op7_pieces": pieces.op7_pieces,
     "op8_lm_score": lm_score.op8_lm_score,
     "op9_mix": mixing.op9_mix,
     "op10_line_dedup": line_dedup.op10_line_dedup,
