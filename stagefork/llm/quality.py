@@ -173,6 +173,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return train(*training_rows(docs, learn, id_col, text_col, label_col, most))
 
 
+def accepted(docs: DataFrame, net: Network, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """Rows of `docs` whose text scores `threshold` or more, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(net)
+
+    @F.pandas_udf("double")
+    def score(text):
+        import pandas as pd
+
+        texts = [t.encode("utf-8", "surrogatepass") if t is not None else b"" for t in text]
+        return pd.Series(np.concatenate([shared.value.score(texts[i:i + 64]) for i in range(0, len(texts), 64)] or [np.zeros(0)]))
+
+    return docs.where(score(F.col(text_col).cast("string")) >= threshold)
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """doc_id, held_out, score, predicted for every row; only the text is read for a score.
 
