@@ -17,7 +17,7 @@ def _downhill(edges: DataFrame) -> DataFrame:
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    """Larger neighbours of each node move to the least node around it."""
+    """Larger neighbours of each node move to the least node around it; links stay downhill and may repeat."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
     return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -30,8 +30,12 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("a", F.col("m").alias("b")))
 
 
-def _digest(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node hangs on one other that hangs on none."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    found = ends.groupBy("node").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+    return found.agg(F.coalesce(F.max((F.col("up") > 1) | ((F.col("up") == 1) & (F.col("down") > 0))), F.lit(False))).first()[0] is False
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -41,15 +45,10 @@ def components(links: DataFrame) -> DataFrame:
     nothing else has no row. Without links there are no rows.
     """
     edges = saved(_downhill(links), "links")
-    before = _digest(edges)
-    while before[0]:
-        after = saved(_downhill(_small_star(_downhill(_large_star(edges)))), "links")
-        now = _digest(after)
+    while not _stars(edges):
+        after = saved(_small_star(_large_star(edges)).distinct(), "links")
         discard(edges)
         edges = after
-        if now == before:
-            break
-        before = now
     roots = edges.select(F.col("b").alias("node")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         roots.select("node", F.col("node").alias("component")))

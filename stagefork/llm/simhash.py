@@ -21,6 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .bitset import bitset, in_bitset
 from .common import discard, saved, table
 from .components import components
 
@@ -145,21 +146,33 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def probes(fps: DataFrame, groups: list[list[int]], chosen: list[int]) -> DataFrame:
-    """part, key, fp, near: `near` marks the keys within the smaller half of the part's threshold."""
-    made = []
+def probes(fps: DataFrame, groups: list[list[int]], chosen: list[int], wanted: np.ndarray | None = None) -> DataFrame:
+    """part, key, fp, near: `near` marks the keys within the smaller half of the part's threshold.
+
+    With `wanted`, a filter over keys, only keys that it lets through.
+    """
+    plans = []
     for part, (group, t) in enumerate(zip(groups, chosen, strict=True)):
-        if t < 0:
-            continue
-        mask = _signed(sum(1 << b for b in group))
-        flips = [(_signed(sum(1 << b for b in c)), r <= t // 2) for r in range((t + 1) // 2 + 1) for c in combinations(group, r)]
-        flip = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(near).alias("near")) for x, near in flips])
-        rows = fps.select("fp", F.col("fp").bitwiseAND(F.lit(mask)).alias("own"), F.explode(flip).alias("flip"))
-        made.append(rows.select(F.lit(part).alias("part"), F.col("own").bitwiseXOR(F.col("flip.x")).alias("key"), "fp", F.col("flip.near").alias("near")))
-    out = made[0]
-    for more in made[1:]:
-        out = out.unionByName(more)
-    return out
+        if t >= 0:
+            flips = [(_signed(sum(1 << b for b in c)), r <= t // 2) for r in range((t + 1) // 2 + 1) for c in combinations(group, r)]
+            plans.append((part, _signed(sum(1 << b for b in group)), np.array([f for f, _ in flips], np.int64), np.array([n for _, n in flips])))
+    shared = None if wanted is None else fps.sparkSession.sparkContext.broadcast(wanted)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            every = batch.column(0).to_numpy()
+            for at in range(0, len(every), 2048):
+                fp = every[at:at + 2048]
+                for part, mask, flips, near in plans:
+                    key = ((fp & mask)[:, None] ^ flips).ravel()
+                    cols = key, np.repeat(fp, len(flips)), np.tile(near, len(fp))
+                    if shared is not None:
+                        kept = in_bitset(shared.value, key ^ part)
+                        cols = tuple(c[kept] for c in cols)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(cols[0]), part, np.int32)), *map(pa.array, cols)], names=["part", "key", "fp", "near"])
+
+    return fps.select("fp").mapInArrow(of, "part int, key long, fp long, near boolean")
 
 
 def _close(a, b, most: int):
@@ -205,11 +218,15 @@ def linked(fps: DataFrame, most: int = 4, parts: int = 2) -> DataFrame:
     if n == 0:
         return fps.select("fp", F.col("fp").alias("component"))
     groups = correlated_parts(n, both, parts)
-    rows = probes(fps, groups, thresholds(n, both, groups, most))
-    keys = rows.groupBy("part", "key").agg(
+    chosen = thresholds(n, both, groups, most)
+    # Fingerprints are small and their keys many, so they are dealt out before they multiply.
+    dealt = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    keys = probes(dealt, groups, chosen).groupBy("part", "key").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("near"), F.col("fp"))).alias("least")).where("n > 1 and least is not null")
     keys = saved(keys, "simhash-keys")
-    members = saved(rows.join(keys, ["part", "key"]), "simhash-members")
+    wanted = bitset(keys.select(F.col("key").bitwiseXOR(F.col("part").cast("long")).alias("key")), "key")
+    rows = probes(dealt, groups, chosen, wanted)
+    members = saved(rows.hint("merge").join(keys.hint("merge"), ["part", "key"]), "simhash-members")
     discard(keys)
     star = members.where(_close("fp", "least", most)).select(F.col("fp").alias("a"), F.col("least").alias("b"))
     first = saved(components(star).select(F.col("node").alias("fp"), "component"), "simhash-components")
