@@ -1,0 +1,32 @@
+"""Stage tables in the shared folder, so that a session builds each of them once."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_MADE: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; a temporary one only where none is set."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="stagefork-"))
+        found = spark.sparkContext.getCheckpointDir()
+    return found.rstrip("/")
+
+
+def stage_table(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """The table `name` over the data in `sf_dir`: written by the first call of a session, read by all."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _MADE:
+        df = build()
+        path = f"{shared_dir(spark)}/stage-{name}-{uuid.uuid4().hex}"
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+        df.write.parquet(path)
+        _MADE[key] = spark.read.schema(df.schema).parquet(path)
+    return _MADE[key]

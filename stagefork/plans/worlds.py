@@ -1,0 +1,104 @@
+"""Worlds as rows: a run is a table of worlds, and freezing a stage is a choice of text.
+
+A world names the text that each stage sees. Stage tables are made once for a session
+and a folder of tables; worlds of a run share the scores of their distinct texts.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..operators import retrieval as R
+from ..sources import collection as C
+from .storage import stage_table
+
+
+class Retrieval:
+    """The collection in `sf_dir` and what its stages give."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def _table(self, name: str, build) -> DataFrame:
+        return stage_table(self.spark, self.sf_dir, name, build)
+
+    @property
+    def docs(self) -> DataFrame:
+        return self._table("docs", lambda: C.corpus(self.spark, self.sf_dir))
+
+    @property
+    def n_docs(self) -> int:
+        return self.docs.count()
+
+    @property
+    def postings(self) -> DataFrame:
+        return self._table("postings", lambda: R.postings(self.docs))
+
+    @property
+    def vocabulary(self) -> DataFrame:
+        return self._table("vocabulary", lambda: R.vocabulary(self.postings))
+
+    @property
+    def doc_vectors(self) -> DataFrame:
+        def build():
+            vectors = self._table("counts", lambda: R.hashed_vectors(self.docs, "doc_id", "text"))
+            return vectors.join(R.norms(vectors, "doc_id"), "doc_id")
+
+        return self._table("vectors", build)
+
+    @property
+    def qrels(self) -> DataFrame:
+        return self._table("qrels", lambda: C.judgements(self.spark, self.sf_dir))
+
+    @property
+    def queries(self) -> DataFrame:
+        return self._table("queries", lambda: C.queries(self.spark, self.sf_dir, self.vocabulary, self.qrels, self.n_docs))
+
+    @property
+    def first_docs(self) -> DataFrame:
+        return self._table("first_docs", lambda: self.docs.select("doc_id").orderBy("doc_id").limit(2 * R.K))
+
+    def bm25(self, texts: DataFrame) -> DataFrame:
+        return R.bm25_scores(texts, self.postings)
+
+    def dense(self, texts: DataFrame) -> DataFrame:
+        return R.dense_scores(texts, self.doc_vectors, self.docs)
+
+    def bm25_top(self, texts: DataFrame, k: int = R.K) -> DataFrame:
+        return R.top(self.bm25(texts), "bm25", texts, self.first_docs, k)
+
+    def dense_top(self, texts: DataFrame, k: int = R.K) -> DataFrame:
+        return R.top(self.dense(texts), "dense", texts, self.first_docs, k)
+
+    def run(self, worlds: DataFrame) -> DataFrame:
+        """world_id, doc_id, provenance, ce, n, rank for worlds (world_id, bm25_text, dense_text, rerank_text, first_stage)."""
+        lexical = worlds.where("first_stage != 'dense'").select(F.col("bm25_text").alias("text")).distinct()
+        dense = worlds.where("first_stage != 'bm25'").select(F.col("dense_text").alias("text")).distinct()
+        pool = R.pools(worlds, self.bm25_top(lexical), self.dense_top(dense))
+        pairs = pool.join(worlds.select("world_id", F.col("rerank_text").alias("text")), "world_id").select("text", "doc_id").distinct()
+        return R.ranked(worlds, pool, R.rerank_scores(pairs, self.postings, self.docs))
+
+    @staticmethod
+    def plain(queries: DataFrame, first_stage: str = "union") -> DataFrame:
+        """One world a query, with the query's own text in all stages."""
+        text = F.col("query_text")
+        return queries.select(F.col("query_id").alias("world_id"), text.alias("bm25_text"), text.alias("dense_text"), text.alias("rerank_text"), F.lit(first_stage).alias("first_stage"))
+
+    def pair_scores(self, pairs: DataFrame) -> DataFrame:
+        """text, doc_id, bm25, dense for given pairs, in the pool or not; zero where nothing is shared."""
+        texts = pairs.select("text").distinct()
+        posted = self.postings.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
+        vectors = self.doc_vectors.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
+        found = pairs.join(R.bm25_scores(texts, posted), ["text", "doc_id"], "left").join(R.dense_scores(texts, vectors, self.docs), ["text", "doc_id"], "left")
+        return found.select("text", "doc_id", F.coalesce("bm25", F.lit(0.0)).alias("bm25"), F.coalesce("dense", F.lit(0.0)).alias("dense"))
+
+    @property
+    def baseline(self) -> DataFrame:
+        """query_id, query_text, doc_id, provenance, bm25, dense, ce, rank."""
+        def build():
+            q = self.queries
+            run = self.run(self.plain(q)).withColumnRenamed("world_id", "query_id").join(q, "query_id")
+            scores = self.pair_scores(run.select(F.col("query_text").alias("text"), "doc_id")).withColumnRenamed("text", "query_text")
+            return run.join(scores, ["query_text", "doc_id"]).select("query_id", "query_text", "doc_id", "provenance", "bm25", "dense", "ce", "n", "rank")
+
+        return self._table("baseline", build)
