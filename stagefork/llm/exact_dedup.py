@@ -15,8 +15,11 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .common import SPACE, saved, scratch_path, table
 
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: RocksDB holds the state; it doesn't reserve disk ahead, since each partition of the state has its own files.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 #: Hits that are compared with one copy of the text that stays.
 HITS_PER_COPY = 1024
 
@@ -57,8 +60,9 @@ def stream_state(
     first = F.struct("n_points", F.bitwise_not(F.col("doc_id.id")).alias("order"), F.col("doc_id._locator").alias("locator"))
     kept = rows.groupBy("digest").agg(F.max(first).alias("first"), F.count(F.lit(1)).alias("group_size"))
     checkpoint = scratch_path(spark, "exact-dedup-state")
-    before = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, _ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STATE_STORE}
+    for k, v in STATE_STORE.items():
+        spark.conf.set(k, v)
     try:
         run = (
             kept.writeStream.format("noop").outputMode("update").trigger(availableNow=True)
@@ -66,7 +70,8 @@ def stream_state(
         )
         run.awaitTermination()
     finally:
-        spark.conf.set(_PROVIDER, before) if before else spark.conf.unset(_PROVIDER)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     if run.lastProgress is None:  # an empty folder starts no batch, so there is no state
         return spark.createDataFrame([], "digest string, n_points int, keep_id long, locator string, group_size long")
     state = spark.read.format("statestore").load(checkpoint)
