@@ -202,7 +202,8 @@ def mix_counts(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sourc
     spark = docs.sparkSession
     uses = slots(spark, parts, seed).groupBy("place", "block").agg(F.count(F.lit(1)).alias("uses"))
     spans = block_spans(rows, parts, block)
-    taken = spans.join(uses, ["place", "block"]).groupBy("place", "key").agg(F.sum((F.col("end") - F.col("start")) * F.col("uses")).alias("taken"))
+    # Slots come from few draws, so Spark would take them for a small table and broadcast it.
+    taken = spans.hint("merge").join(uses.hint("merge"), ["place", "block"]).groupBy("place", "key").agg(F.sum((F.col("end") - F.col("start")) * F.col("uses")).alias("taken"))
     share = spark.createDataFrame([(p.source, p.place, p.size, p.target) for p in parts], "own_source string, place int, source_size long, target double")
     found = rows.join(F.broadcast(share), rows["source"].eqNullSafe(share["own_source"])).join(taken, ["place", "key"], "left")
     return found.select(F.col("key.id").alias("doc_id"), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
@@ -220,7 +221,7 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "so
     keyed = saved(docs.withColumn("_mix_key", F.monotonically_increasing_id()), "mix-documents")
     rows = sized_rows(keyed, source_col, text_col, F.col("_mix_key"))
     parts = shares(rows, weights, block, most)
-    spans = block_spans(rows, parts, block).join(slots(spark, parts, seed), ["place", "block"])
+    spans = block_spans(rows, parts, block).hint("merge").join(slots(spark, parts, seed).hint("merge"), ["place", "block"])
     drawn = spans.groupBy("key", "pass").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_mix_spans"))
     drawn = drawn.select(F.col("key").alias("_mix_key"), "_mix_spans")
     word = f"[{SPACE_CLASS}]*[^{SPACE_CLASS}]+"
