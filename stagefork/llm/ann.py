@@ -161,7 +161,7 @@ def search_block(index: DataFrame, books: Codebooks, ids: np.ndarray, queries: n
                 best = _first(approx, own, k * rerank)
                 best = best[own[best] != query_id]
                 # Differences are summed in component order, as an exact scan would.
-                far = np.sqrt(((x[best] - q[i]) ** 2).sum(axis=1))
+                far = np.sqrt(np.add.accumulate((x[best] - q[i]) ** 2, axis=1)[:, -1])
                 best, far = (a[np.lexsort((own[best], far))[:k]] for a in (best, far))
                 out[0].append(np.full(len(best), query_id))
                 out[1].append(own[best])

@@ -67,5 +67,12 @@ def id_remainder(col: Column, modulus: int) -> Column:
     return (F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % modulus).cast("int")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, with underscores behind it until `df` has no such column."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

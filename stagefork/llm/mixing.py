@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import SPACE_CLASS, saved, table
+from .common import SPACE_CLASS, free_name, saved, table
 
 #: Words of a block, slots of an output shard, documents of a piece that one task lays end to end.
 BLOCK, SLOTS, PIECE = 64, 4096, 4096
@@ -56,7 +56,7 @@ def targets(sizes: list[int], weights: list[float], most: float = MOST_PASSES) -
         left = total - sum(most * sizes[i] for i in held)
         weight = sum(w for i, w in enumerate(weights) if i not in held)
         for i, w in enumerate(weights):
-            found[i] = most * sizes[i] if i in held else left * w / weight
+            found[i] = float(most * sizes[i]) if i in held else left * w / weight
         above = {i for i in range(len(sizes)) if i not in held and found[i] > most * sizes[i]}
         if not above:
             break
@@ -218,12 +218,13 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "so
     are the document's own.
     """
     spark, names = docs.sparkSession, docs.columns
-    keyed = saved(docs.withColumn("_mix_key", F.monotonically_increasing_id()), "mix-documents")
-    rows = sized_rows(keyed, source_col, text_col, F.col("_mix_key"))
+    key, words = free_name(docs, "_mix_key"), free_name(docs, "_mix_spans")
+    keyed = saved(docs.withColumn(key, F.monotonically_increasing_id()), "mix-documents")
+    rows = sized_rows(keyed, source_col, text_col, F.col(key))
     parts = shares(rows, weights, block, most)
     spans = block_spans(rows, parts, block).hint("merge").join(slots(spark, parts, seed).hint("merge"), ["place", "block"])
-    drawn = spans.groupBy("key", "pass").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_mix_spans"))
-    drawn = drawn.select(F.col("key").alias("_mix_key"), "_mix_spans")
+    drawn = spans.groupBy("key", "pass").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    drawn = drawn.select(F.col("key").alias(key), F.col("spans").alias(words))
     word = f"[{SPACE_CLASS}]*[^{SPACE_CLASS}]+"
 
     @F.pandas_udf("string")
@@ -245,8 +246,8 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "so
             out.append("".join(t[ends[a]:ends[b]] for a, b in runs))
         return pd.Series(out, dtype=object)
 
-    found = keyed.join(drawn, "_mix_key")
-    return found.withColumn(text_col, cut(F.col(text_col), F.col("_mix_spans"))).select(*names)
+    found = keyed.join(drawn, key)
+    return found.withColumn(text_col, cut(F.col(text_col), F.col(words))).select(*names)
 
 
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -142,7 +142,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     """
     marks = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("_label"))
     marks = marks.withColumn("_order", F.xxhash64(id_col)).orderBy("_order", id_col).limit(2 * most)
-    rows = docs.join(F.broadcast(marks), id_col).select(id_col, "_order", "_label", F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_text"))
+    rows = docs.select(id_col, text_col).join(F.broadcast(marks), id_col).select(id_col, "_order", "_label", F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_text"))
     room = F.greatest(F.lit(1), F.octet_length("_text") - MOST_BYTES + 1)
     rows = rows.withColumn("_text", F.substring(F.col("_text"), F.pmod("_order", room).cast("int") + 1, F.lit(MOST_BYTES)))
     found = rows.orderBy("_order", id_col, "_text").limit(most).collect()
