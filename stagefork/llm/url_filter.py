@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .common import ascii_lower, saved, table
+from .common import ascii_lower, discard, saved, table
 
 #: Rules of the query, as host and path: the longest that fits decides.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -59,6 +59,7 @@ def path_templates(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
     `pages` has host, path, n (rows) and bad (of them labelled bad), each host and path once.
     """
     rows = pages.withColumn("segments", _segments(F.col("path"))).withColumn("branch", F.lit("")).withColumn("way", F.array(F.lit("")))
+    rows = start = saved(rows, "url-step")  # each step reads its rows several times, so its plan starts from a table
     for step in range(depth):
         here = F.try_element_at(F.col("segments"), F.lit(step + 1))
         rows = rows.withColumn("segment", here)
@@ -79,6 +80,9 @@ def path_templates(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
         name = F.when(F.col("segment").isNull(), None).otherwise(F.coalesce("name", _variable(F.col("segment"))))
         rows = rows.withColumn("branch", F.when(name.isNull(), F.col("branch")).otherwise(F.concat_ws("/", "branch", name)))
         rows = rows.withColumn("way", F.when(name.isNull(), F.col("way")).otherwise(F.array_append("way", F.col("branch")))).drop("segment", "name")
+        rows = saved(rows, "url-step")
+        discard(start)
+        start = rows
     tail = F.size("segments") > depth
     rows = rows.withColumn("way", F.when(tail, F.array_append("way", F.concat(F.col("branch"), F.lit("/**")))).otherwise(F.col("way")))
     return rows.select("host", "path", "n", "bad", F.col("way"), F.element_at("way", -1).alias("template"))
@@ -87,18 +91,14 @@ def path_templates(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
 def template_purity(rows: DataFrame) -> DataFrame:
     """host, template, purity: bad shares smoothed from the whole table down each way."""
     whole = rows.agg(((F.sum("bad") + 1) / (F.sum("n") + 2)).alias("p")).first()["p"] or 0.5
-    nodes = rows.select("host", "n", "bad", F.posexplode("way").alias("step", "node"), "way")
-    parent = F.when(F.col("step") > 0, F.get("way", F.col("step") - 1))
-    nodes = nodes.withColumn("parent", parent).groupBy("host", "node", "parent", "step").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    nodes = saved(nodes, "url-nodes")
-    found = None
-    level = nodes.where("step = 0").select("host", "node", ((F.col("bad") + PRIOR * whole) / (F.col("n") + PRIOR)).alias("purity"))
-    for step in range(1, DEPTH + 2):
-        found = level if found is None else found.unionByName(level)
-        above = level.select("host", F.col("node").alias("parent"), F.col("purity").alias("from"))
-        level = nodes.where(F.col("step") == step).join(above, ["host", "parent"]).select(
-            "host", "node", ((F.col("bad") + PRIOR * F.col("from")) / (F.col("n") + PRIOR)).alias("purity"))
-    return found.unionByName(level).withColumnRenamed("node", "template")
+    # A host has a bounded number of ways, and a node's name holds its whole way.
+    ways = saved(rows.groupBy("host", "way").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), "url-ways")
+    steps = ways.select("host", "way", "n", "bad", F.posexplode("way").alias("step", "node"))
+    nodes = steps.groupBy("host", "node").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    along = steps.select("host", "way", "step", "node").join(nodes, ["host", "node"]).groupBy("host", "way").agg(
+        F.array_sort(F.collect_list(F.struct("step", "n", "bad"))).alias("along"))
+    purity = F.aggregate("along", F.lit(float(whole)), lambda above, node: (node["bad"] + PRIOR * above) / (node["n"] + PRIOR))
+    return along.select("host", F.element_at("way", -1).alias("template"), purity.alias("purity"))
 
 
 def url_verdicts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, bad: Column | None = None, limit: float = LIMIT) -> DataFrame:
