@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -14,7 +15,7 @@ import pytest
 from test_units import brute_fingerprint, model
 
 import corpus_pipeline
-from stagefork.llm import line_dedup as L, lm_score as M, queries, url_filter
+from stagefork.llm import line_dedup as L, lm_score as M, near_copies, queries, url_filter
 
 SMALL, MORE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 WORD = re.compile("[^\x20\x09-\x0D]+")
@@ -310,6 +311,38 @@ def test_line_dedup_of_odd_rows(spark, odd):
     assert got[5] == {("same text  here", 1)} or got[5] == {("", 2)}
 
 
+def near_groups(texts):
+    """Group of each normalised text: fingerprints joined within the radius, of these texts with a similarity of 0.8 or more."""
+    every = sorted({near_copies.normal(t) for t in texts})
+    fps = {t: brute_fingerprint(t.decode("utf-8", "surrogatepass"), near_copies.WORDS) for t in every}
+    distinct = sorted(set(fps.values()))
+    near = joined_up(distinct, [(a, b) for i, a in enumerate(distinct) for b in distinct[:i] if (a ^ b).bit_count() <= near_copies.RADIUS])
+    sets = {t: near_copies.word_shingles(t) for t in every}
+    links = [(a, b) for i, a in enumerate(every) for b in every[:i] if near[fps[a]] == near[fps[b]] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    return joined_up(every, links)
+
+
+@pytest.mark.parametrize("block", [2, 64])
+def test_near_copies_of_drifting_texts(spark, monkeypatch, block):
+    """Chains whose ends aren't alike, plain copies, ids that are null or repeat, and texts without words."""
+    monkeypatch.setattr(near_copies, "BLOCK", block)
+    rng, texts = random.Random(5), [None, "", " \n", "one", "ONE ", "Two words"]
+    for _ in range(4):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+        for _ in range(12):
+            texts += [" ".join(words)] * rng.choice([1, 1, 2])
+            words = [*words[:-6], *(f"w{rng.randrange(10**6)}" for _ in range(6))] if rng.random() < 0.2 else [*words[4:], *(f"w{rng.randrange(10**6)}" for _ in range(4))]
+    ids = [None, 7, 7, *range(10, 7 + len(texts))]
+    docs = spark.createDataFrame(list(zip(ids, texts, texts, strict=True)), "doc_id long, text string, component string")
+    top, least = near_groups(texts), {}
+    for i, t in zip(ids, texts, strict=True):
+        c = top[near_copies.normal(t)]
+        least[c] = min((x for x in (least.get(c), i) if x is not None), default=None)
+    want = Counter((i, least[top[near_copies.normal(t)]]) for i, t in zip(ids, texts, strict=True))
+    assert Counter((r["doc_id"], r["component_id"]) for r in rows(near_copies.near_copies(docs))) == want
+    assert max(Counter(top.values()).values()) > 4 and len(set(top.values())) < len(top)
+
+
 @pytest.mark.parametrize("folder", [SMALL, "odd", "none"])
 def test_pipeline(spark, odd, none, tmp_path, folder):
     """Every stage's rows, given those of the stage before; columns stay until the last."""
@@ -329,13 +362,11 @@ def test_pipeline(spark, odd, none, tmp_path, folder):
             assert all(r["text"].strip(" \t\n\x0b\x0c\r") and r["n_chars"] == len(r["text"]) for r in after)
             assert {r["doc_id"] for r in after} <= {r["doc_id"] for r in before}
         if k == 2:
-            fps = {r["text"]: brute_fingerprint(r["text"] or "", 5) for r in before}
-            every = sorted(set(fps.values()))
-            top = joined_up(every, [(a, b) for i, a in enumerate(every) for b in every[:i] if (a ^ b).bit_count() <= 4])
+            top = near_groups([r["text"] for r in before])
             least = {}
             for r in before:
                 own = (r["doc_id"] is None, r["doc_id"] or 0)
-                c = top[fps[r["text"]]]
+                c = top[near_copies.normal(r["text"])]
                 least[c] = min(least.get(c, own), own)
             stay = {None if null else i for null, i in least.values()}
             assert Counter(map(str, after)) == Counter(str(r) for r in before if r["doc_id"] in stay)
