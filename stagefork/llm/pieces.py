@@ -28,7 +28,7 @@ BLANK = 0x2581
 #: A blank sign that stands in the text itself; it goes by its bytes, since the piece decodes to a space.
 _LITERAL = 0x110001
 #: Characters worked on at a time; draws until a word's other segmentations are listed instead, if it has no more than that.
-PIECE, TRIES, LISTED = 1 << 20, 16, 20_000
+PIECE, TRIES, LISTED = 1 << 18, 16, 20_000
 #: Exponent of piece probabilities: 1 leaves them, 0 makes all segmentations equally likely.
 SMOOTHING = 0.5
 _P = np.uint64(0x9E3779B97F4A7C15)
