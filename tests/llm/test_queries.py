@@ -311,6 +311,15 @@ def test_line_dedup_of_odd_rows(spark, odd):
     assert got[5] == {("same text  here", 1)} or got[5] == {("", 2)}
 
 
+def test_line_dedup_tells_rows_with_one_id_apart(spark):
+    """A line that goes from one row stays in others with the same id, null included."""
+    common, own = "this line stands in several rows of the table", [f"{w} is what only a single row says" for w in ("alpha", "bravo", "charlie", "delta")]
+    made = [(1, f"{common}\n{own[0]}"), (None, f"{own[1]}\nx"), (None, f"{common}\ny"), (7, f"{own[2]}\nz"), (7, f"{common}\n{own[3]}")]
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    want = Counter([(*made[0], 0), (*made[1], 0), (None, "y", 1), (*made[3], 0), (7, own[3], 1)])
+    assert Counter((r["doc_id"], r["text"], r["n"]) for r in rows(L.dedup_lines(docs, dropped_col="n"))) == want
+
+
 def near_groups(texts):
     """Group of each normalised text: fingerprints joined within the radius, of these texts with a similarity of 0.8 or more."""
     every = sorted({near_copies.normal(t) for t in texts})
