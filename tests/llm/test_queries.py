@@ -320,6 +320,23 @@ def test_line_dedup_tells_rows_with_one_id_apart(spark):
     assert Counter((r["doc_id"], r["text"], r["n"]) for r in rows(L.dedup_lines(docs, dropped_col="n"))) == want
 
 
+@pytest.mark.parametrize("edits, least", [(1, 30), (2, 60)])
+def test_line_dedup_links_short_near_lines(spark, edits, least):
+    """Ordinary lines of up to 70 characters with characters replaced go; lines with other words stay."""
+    rng, made, near = random.Random(edits), [], {}
+    for i in range(300):
+        line = " ".join("".join(rng.choices("abcdefghijklmnoprstuvw", k=rng.randrange(2, 9))) for _ in range(14))[: rng.randrange(least, 71)].strip().ljust(least, "x")
+        other = list(line)
+        for at in rng.sample(range(4, len(line) - 4), edits):
+            other[at] = str(rng.randrange(10))
+        near[1000 + i] = sum(a != b for a, b in zip(line, other, strict=True))
+        made += [(i, line), (1000 + i, "".join(other))]
+    assert set(near.values()) == {edits}
+    got = {r["doc_id"]: r["n"] for r in rows(L.dedup_lines(spark.createDataFrame(made, "doc_id long, text string"), dropped_col="n"))}
+    assert all(got[i] == 0 for i in range(300))
+    assert np.mean([got[i] for i in near]) >= (0.97 if edits == 1 else 0.8)
+
+
 def near_groups(texts):
     """Group of each normalised text: fingerprints joined within the radius, of these texts with a similarity of 0.8 or more."""
     every = sorted({near_copies.normal(t) for t in texts})
