@@ -16,11 +16,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import id_remainder, table
+from .common import id_remainder, slices, table
 
 WIDTH, STRIDE, FILTERS, HIDDEN = 8, 4, 24, 16
-#: Labelled rows that training takes at most, in order of a hash of their id; bytes of each that one step reads at most.
-MOST_ROWS, MOST_BYTES = 5000, 65536
+#: Labelled rows that training takes at most, in order of a hash of their id.
+MOST_ROWS = 5000
 EPOCHS, BATCH, RATE = 12, 50, 0.01
 THRESHOLD = 0.3
 #: Bytes whose windows are worked on at a time.
@@ -91,9 +91,12 @@ class Network:
         return a, h, 1 / (1 + np.exp(-(h @ self.out + self.out_bias)))
 
     def score(self, texts: list[bytes]) -> np.ndarray:
+        """Equal texts score alike whatever stands beside them: maxima don't hang on it, and each row's sums run over FILTERS and HIDDEN terms in order."""
         if not texts:
             return np.zeros(0)
-        return self.combine(self.pooled(texts)[0])[2].astype(np.float64)
+        a = np.tanh(self.pooled(texts)[0].astype(np.float64))
+        h = np.tanh((a[:, :, None] * self.hidden).cumsum(axis=1)[:, -1] + self.hidden_bias)
+        return 1 / (1 + np.exp(-((h * self.out).cumsum(axis=1)[:, -1] + self.out_bias[0])))
 
 
 def train(texts: list[bytes], labels: list[int], seed: int = 0) -> Network:
@@ -135,17 +138,14 @@ def train(texts: list[bytes], labels: list[int], seed: int = 0) -> Network:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int) -> tuple[list[bytes], list[int]]:
-    """At most `most` labelled rows, in order of a hash of their id: a bounded sample for the driver.
-
-    Of a document longer than MOST_BYTES, training reads that many bytes from a place
-    that its hash picks; scoring always reads the whole.
-    """
+    """The whole texts of at most `most` labelled rows, in order of a hash of their id: a bounded sample for the driver."""
     marks = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("_label"))
-    marks = marks.withColumn("_order", F.xxhash64(id_col)).orderBy("_order", id_col).limit(2 * most)
-    rows = docs.select(id_col, text_col).join(F.broadcast(marks), id_col).select(id_col, "_order", "_label", F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_text"))
-    room = F.greatest(F.lit(1), F.octet_length("_text") - MOST_BYTES + 1)
-    rows = rows.withColumn("_text", F.substring(F.col("_text"), F.pmod("_order", room).cast("int") + 1, F.lit(MOST_BYTES)))
-    found = rows.orderBy("_order", id_col, "_text").limit(most).collect()
+    own = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("_text"))
+    # Ids are matched without texts, so that only the chosen rows' texts move.
+    matched = own.select("_id").join(marks.select(F.col(id_col).cast("long").alias("_id"), "_label"), "_id")
+    chosen = matched.withColumn("_order", F.xxhash64("_id")).orderBy("_order", "_id").limit(most).distinct()
+    rows = own.join(F.broadcast(chosen), "_id")  # `most` rows at most
+    found = rows.orderBy("_order", "_id", F.xxhash64("_text")).limit(most).select("_text", "_label").collect()
     return [bytes(r["_text"]) for r in found], [r["_label"] for r in found]
 
 
@@ -154,9 +154,8 @@ def scored(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t or b"" for t in batch.column(1).to_pylist()]
-            found = np.concatenate([shared.value.score(texts[i:i + 64]) for i in range(0, len(texts), 64)] or [np.zeros(0)])
+        for batch in slices(batches, 1):
+            found = shared.value.score([t or b"" for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], names=["doc_id", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
@@ -174,17 +173,22 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def accepted(docs: DataFrame, net: Network, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Rows of `docs` whose text scores `threshold` or more, with all their columns."""
-    shared = docs.sparkSession.sparkContext.broadcast(net)
+    """Rows of `docs` whose text scores `threshold` or more, with all their columns.
 
-    @F.pandas_udf("double")
-    def score(text):
-        import pandas as pd
+    A null text counts as empty and is scored like it; repeated rows stay or go together,
+    and other columns aren't read. An empty table gives no rows.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(net)
+    place = docs.columns.index(text_col)
 
-        texts = [t.encode("utf-8", "surrogatepass") if t is not None else b"" for t in text]
-        return pd.Series(np.concatenate([shared.value.score(texts[i:i + 64]) for i in range(0, len(texts), 64)] or [np.zeros(0)]))
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, place):
+            texts = [t or b"" for t in batch.column(place).cast(pa.binary()).to_pylist()]
+            kept = batch.filter(pa.array(shared.value.score(texts) >= threshold))
+            if kept.num_rows:
+                yield kept
 
-    return docs.where(score(F.col(text_col).cast("string")) >= threshold)
+    return docs.mapInArrow(of, docs.schema)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
