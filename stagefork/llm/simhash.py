@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .bitset import bitset, in_bitset
-from .common import discard, saved, table
+from .common import discard, saved, slices, table
 from .components import components
 
 BITS = 64
@@ -30,31 +30,37 @@ BITS = 64
 BLOCK = 512
 
 
-def fingerprint(text: str | None, words: int) -> int:
+def fingerprint(text: str | None, words: int, seed: int = 42) -> int:
     """SimHash of the shingles of `words` words; zero without words. Unsigned."""
+    return fingerprints_of(text, words, (seed,))[0]
+
+
+def fingerprints_of(text: str | None, words: int, seeds: tuple[int, ...]) -> list[int]:
+    """A text's fingerprints by several seeds of the shingles' hash."""
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII letters and white space only
     n = len(found) - words + 1
     if not found:
-        return 0
+        return [0] * len(seeds)
     whole = b" ".join(found)
     if n <= 1:
-        return xxhash.xxh64_intdigest(whole, 42)
+        return [xxhash.xxh64_intdigest(whole, seed) for seed in seeds]
     ends = np.cumsum([len(w) + 1 for w in found]) - 1
-    starts = [0, *(ends[:-1] + 1).tolist()]
-    digest = xxhash.xxh64_digest
-    hashes = b"".join([digest(whole[a:b], 42) for a, b in zip(starts, ends[words - 1:].tolist(), strict=False)])
-    ones = np.zeros(BITS, np.int64)
-    raw = np.frombuffer(hashes, np.uint8).reshape(n, BITS // 8)
-    for at in range(0, n, 4096):
-        ones += np.unpackbits(raw[at:at + 4096], axis=1).sum(axis=0, dtype=np.int32)
-    return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
+    starts, out, digest = [0, *(ends[:-1] + 1).tolist()], [], xxhash.xxh64_digest
+    rows = [whole[a:b] for a, b in zip(starts, ends[words - 1:].tolist(), strict=False)]
+    for seed in seeds:
+        raw = np.frombuffer(b"".join([digest(r, seed) for r in rows]), np.uint8).reshape(n, BITS // 8)
+        ones = np.zeros(BITS, np.int64)
+        for at in range(0, n, 4096):
+            ones += np.unpackbits(raw[at:at + 4096], axis=1).sum(axis=0, dtype=np.int32)
+        out.append(int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big"))
+    return out
 
 
 def fingerprints(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp (the fingerprint's bits as a signed long) for every row."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             found = np.array([fingerprint(t, words) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["doc_id", "fp"])
 
@@ -219,8 +225,10 @@ def linked(fps: DataFrame, most: int = 4, parts: int = 2) -> DataFrame:
         return fps.select("fp", F.col("fp").alias("component"))
     groups = correlated_parts(n, both, parts)
     chosen = thresholds(n, both, groups, most)
-    # Fingerprints are small and their keys many, so they are dealt out before they multiply.
-    dealt = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    # Fingerprints are small and their keys many, so they are dealt out before they multiply; a table in that many files keeps them dealt.
+    n_parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = saved(fps.select("fp"), "simhash-distinct")
+    dealt = held.repartition(n_parts, F.xxhash64("fp"))
     keys = probes(dealt, groups, chosen).groupBy("part", "key").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("near"), F.col("fp"))).alias("least")).where("n > 1 and least is not null")
     keys = saved(keys, "simhash-keys")

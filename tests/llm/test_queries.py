@@ -338,16 +338,47 @@ def test_line_dedup_links_short_near_lines(spark, edits, least):
 
 
 def near_groups(texts):
-    """Group of each normalised text: fingerprints joined within the radius, of these texts with a similarity of 0.8 or more."""
+    """Group of each normalised text: fingerprints of either seed joined within the radius, of these texts with a similarity of 0.8 or more."""
     every = sorted({near_copies.normal(t) for t in texts})
-    fps = {t: brute_fingerprint(t.decode("utf-8", "surrogatepass"), near_copies.WORDS) for t in every}
-    distinct = sorted(set(fps.values()))
-    near = joined_up(distinct, [(a, b) for i, a in enumerate(distinct) for b in distinct[:i] if (a ^ b).bit_count() <= near_copies.RADIUS])
+    ties = []
+    for seed in near_copies.SEEDS:
+        by = defaultdict(list)
+        for t in every:
+            by[brute_fingerprint(t.decode("utf-8", "surrogatepass"), near_copies.WORDS, seed)].append(t)
+        distinct = sorted(by)
+        ties += [(by[a][0], by[b][0]) for i, a in enumerate(distinct) for b in distinct[:i] if (a ^ b).bit_count() <= near_copies.RADIUS]
+        ties += [(own[0], t) for own in by.values() for t in own[1:]]
+    near = joined_up(every, ties)
     sets = {t: near_copies.word_shingles(t) for t in every}
-    links = [(a, b) for i, a in enumerate(every) for b in every[:i] if near[fps[a]] == near[fps[b]] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    links = [(a, b) for i, a in enumerate(every) for b in every[:i] if near[a] == near[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
     return joined_up(every, links)
 
 
+def test_near_copies_recall_over_all_pairs(spark):
+    """Of all pairs of distinct texts in sf0.1 with a similarity of 0.8 or more, nine tenths at least come together, and no text without such a partner does."""
+    docs = documents("/root/testdata/sf0.1")
+    every = sorted({near_copies.normal(d["text"]) for d in docs})
+    sets = [near_copies.word_shingles(t) for t in every]
+    posts, both = defaultdict(list), Counter()
+    for i, s in enumerate(sets):
+        for x in s:
+            posts[x].append(i)
+    for p in posts.values():
+        both.update((a, b) for k, b in enumerate(p) for a in p[:k])
+    pairs = [(a, b) for (a, b), n in both.items() if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n)]
+    group = {near_copies.normal(d["text"]): None for d in docs}
+    ids = {d["doc_id"]: near_copies.normal(d["text"]) for d in docs}
+    for r in rows(near_copies.near_copies(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))):
+        group[ids[r["doc_id"]]] = r["component_id"]
+    caught = [group[every[a]] == group[every[b]] for a, b in pairs]
+    assert len(pairs) >= 40 and np.mean(caught) >= 0.9
+    top = joined_up(range(len(every)), pairs)
+    least = {}
+    for i, t in enumerate(every):
+        least.setdefault(group[t], top[i])
+        assert least[group[t]] == top[i]
+
+
 @pytest.mark.parametrize("block", [2, 64])
 def test_near_copies_of_drifting_texts(spark, monkeypatch, block):
     """Chains whose ends aren't alike, plain copies, ids that are null or repeat, and texts without words."""

@@ -12,11 +12,11 @@ import xxhash
 from stagefork.llm import ann, bitset, line_dedup as L, lm_score as M, mixing, pieces, quality, secrets, simhash
 
 
-def brute_fingerprint(text, words):
+def brute_fingerprint(text, words, seed=42):
     low = text.translate(str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)}))
     found = re.findall("[^\x20\x09-\x0D]+", low)
     rows = [" ".join(found[i:i + words]) for i in range(len(found) - words + 1)] or ([" ".join(found)] if found else [])
-    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in rows]
+    h = [xxhash.xxh64_intdigest(s.encode(), seed) for s in rows]
     return sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h))
 
 
