@@ -15,6 +15,7 @@ of its target exactly.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import SPACE_CLASS, free_name, saved, table
+from .common import SPACE_CLASS, free_name, saved, slices, table
 
 #: Words of a block, slots of an output shard, documents of a piece that one task lays end to end.
 BLOCK, SLOTS, PIECE = 64, 4096, 4096
@@ -152,7 +153,9 @@ def slots(spark: SparkSession, parts: list[Share], seed: int, per_shard: int = S
                         [pa.array(np.full(len(own), shard)), pa.array(np.full(len(own), i), pa.int32()), pa.array(turn.astype(np.int32)), pa.array(block)],
                         names=["shard", "place", "pass", "block"])
 
-    return rows.select("shard", "n", "first", "place").mapInArrow(place, schema)
+    # Few rows become many slots, so they are dealt out by shard first.
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return rows.select("shard", "n", "first", "place").repartition(n_parts, F.xxhash64("shard", "place")).mapInArrow(place, schema)
 
 
 def block_spans(sized: DataFrame, parts: list[Share], block: int = BLOCK) -> DataFrame:
@@ -215,7 +218,9 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "so
 
     A row's text holds the words that the pass takes, with the white space between
     and around them; a document that is taken whole is left as it is. All other columns
-    are the document's own.
+    are the document's own. A null, empty or blank text has no words and is never taken;
+    a null source is one source, placed last; repeated rows, null and equal ids are
+    documents of their own. An empty table gives no rows.
     """
     spark, names = docs.sparkSession, docs.columns
     key, words = free_name(docs, "_mix_key"), free_name(docs, "_mix_spans")
@@ -227,27 +232,27 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "so
     drawn = drawn.select(F.col("key").alias(key), F.col("spans").alias(words))
     word = f"[{SPACE_CLASS}]*[^{SPACE_CLASS}]+"
 
-    @F.pandas_udf("string")
-    def cut(text, spans):
-        import re
-
-        import pandas as pd
-
-        out = []
-        for t, found in zip(text, spans, strict=True):
-            runs: list[list[int]] = []
-            for s in found:
-                if runs and runs[-1][1] == s["start"]:
-                    runs[-1][1] = s["end"]
-                else:
-                    runs.append([s["start"], s["end"]])
-            ends = [0, *(m.end() for m in re.finditer(word, t))]
-            ends[-1] = len(t)
-            out.append("".join(t[ends[a]:ends[b]] for a, b in runs))
-        return pd.Series(out, dtype=object)
-
     found = keyed.join(drawn, key)
-    return found.withColumn(text_col, cut(F.col(text_col), F.col(words))).select(*names)
+    found = found.withColumn(text_col, F.col(text_col).cast("string")).select(*names, words)
+    place = names.index(text_col)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, place):
+            out = []
+            for t, spans in zip(batch.column(place).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
+                runs: list[list[int]] = []
+                for s in spans:
+                    if runs and runs[-1][1] == s["start"]:
+                        runs[-1][1] = s["end"]
+                    else:
+                        runs.append([s["start"], s["end"]])
+                ends = [0, *(m.end() for m in re.finditer(word, t))]
+                ends[-1] = len(t)
+                out.append("".join(t[ends[a]:ends[b]] for a, b in runs))
+            columns = [pa.array(out, pa.string()) if k == place else batch.column(k) for k in range(len(names))]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return found.mapInArrow(cut, found.select(*names).schema)
 
 
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

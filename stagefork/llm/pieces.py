@@ -22,13 +22,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import table
+from .common import slices, table
 
 BLANK = 0x2581
 #: A blank sign that stands in the text itself; it goes by its bytes, since the piece decodes to a space.
 _LITERAL = 0x110001
 #: Characters worked on at a time; draws until a word's other segmentations are listed instead, if it has no more than that.
-PIECE, TRIES, LISTED = 1 << 18, 16, 20_000
+PIECE, TRIES, LISTED, MANY = 1 << 19, 16, 20_000, 1e6
 #: Exponent of piece probabilities: 1 leaves them, 0 makes all segmentations equally likely.
 SMOOTHING = 0.5
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -55,17 +55,21 @@ def default_model() -> str:
 
 @dataclass
 class Vocabulary:
-    """Pieces by the hash of their characters; a piece's log-probability falls with its rank.
+    """Pieces as a trie over classes of characters; a piece's log-probability falls with its rank.
 
     The model file holds merge ranks, not probabilities. By Zipf's law the piece of
     rank r has log-probability -log(r + 2) less a constant, times a smoothing exponent
-    that makes segmentations differ more.
+    that makes segmentations differ more. Characters that begin or continue no piece are
+    of class 0. The trie's edges lie in an open hash table, a key for node and class.
     """
 
-    hashes: np.ndarray  # sorted
-    ids: np.ndarray
+    classes: np.ndarray  # by character
+    n_classes: int
+    keys: np.ndarray
+    targets: np.ndarray
+    piece_at: np.ndarray  # by node, -1: no piece ends there
     logs: np.ndarray  # by id
-    longest: int
+    weights: np.ndarray  # exp(logs), and a zero at -1
     byte_id: int
     decoded: list[bytes]  # by id
 
@@ -90,24 +94,49 @@ class Vocabulary:
             decoded[i] = bytes([k])
         for i, s in names.items():
             decoded[i] = s.replace("▁", " ").encode()
-        found = np.array([text_hash([ord(c) for c in names[i]]) for i in plain], np.uint64)
-        order = np.argsort(found)
-        return cls(found[order], np.array(plain, np.int32)[order], logs, max(map(len, names.values())), bytes_[0], decoded)
-
-    def lookup(self, hashes: np.ndarray) -> np.ndarray:
-        """Ids, -1 where there is none."""
-        if not hasattr(self, "_seen"):
-            self._seen = np.zeros(1 << 20, bool)
-            self._seen[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
-        out = np.full(hashes.shape, -1, np.int32)
-        maybe = np.flatnonzero(self._seen[(hashes >> np.uint64(44)).astype(np.int64)])
-        own = hashes[maybe]
-        at = np.minimum(np.searchsorted(self.hashes, own), len(self.hashes) - 1)
-        hit = self.hashes[at] == own
-        out[maybe[hit]] = self.ids[at[hit]]
+        classes = np.zeros(_LITERAL + 1, np.int64)
+        used = sorted({ord(c) for s in names.values() for c in s})
+        classes[used] = np.arange(1, len(used) + 1)
+        edges: dict[int, int] = {}
+        piece_at = [-1]
+        for i, s in names.items():
+            node = 0
+            for c in s:
+                key = node * (len(used) + 1) + int(classes[ord(c)])
+                node = edges.setdefault(key, len(piece_at))
+                if node == len(piece_at):
+                    piece_at.append(-1)
+            piece_at[node] = i
+        size = 1 << (len(edges) * 3).bit_length()
+        keys, targets = np.full(size, -1, np.int64), np.full(size, -1, np.int32)
+        slots = _slots(np.fromiter(edges, np.int64, len(edges)), size).tolist()
+        for slot, (key, node) in zip(slots, edges.items(), strict=True):
+            while keys[slot] >= 0:
+                slot = (slot + 1) % size
+            keys[slot], targets[slot] = key, node
+        weights = np.r_[np.exp(logs.astype(np.float64)), 0.0]
+        return cls(classes, len(used) + 1, keys, targets, np.array(piece_at, np.int32), logs, weights, bytes_[0], decoded)
+
+    def step(self, node: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        """The nodes behind nodes by a class of character, -1 where there is none."""
+        key = node * self.n_classes + kind
+        slot = _slots(key, len(self.keys))
+        found = self.keys[slot]
+        out = np.where(found == key, self.targets[slot], -1)
+        open_ = np.flatnonzero((found != key) & (found >= 0))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) % len(self.keys)
+            found = self.keys[slot[open_]]
+            hit = found == key[open_]
+            out[open_[hit]] = self.targets[slot[open_[hit]]]
+            open_ = open_[~hit & (found >= 0)]
         return out
 
 
+def _slots(key: np.ndarray, size: int) -> np.ndarray:
+    return ((key.view(np.uint64) * _P) >> np.uint64(65 - size.bit_length())).view(np.int64)
+
+
 def text_hash(codes: list[int]) -> int:
     """Of the characters and their number; as `Prefixes` finds it for a part of a text."""
     return int(Prefixes(np.array(codes, np.uint64)).of(np.array([0]), np.array([len(codes)]))[0])
@@ -126,61 +155,61 @@ class Prefixes:
 
 @dataclass
 class Words:
-    """Lattices of distinct words of up to one length: `cum[w, j, l]` is the chance that the piece that ends behind character j has at most l + 1 characters."""
+    """Lattices of distinct words of up to one length: `cum[j, w, l]` is the chance that the piece that ends behind character j has at most l + 1 characters."""
 
     size: np.ndarray
-    piece: np.ndarray  # words x length x longest; -2 for a character's bytes
-    log: np.ndarray
+    piece: np.ndarray  # length x words x longest; -2 for a character's bytes
     cum: np.ndarray
     total: np.ndarray
-    count: np.ndarray
+    count: np.ndarray  # of segmentations, MANY at most
 
 
 def utf8_size(codes: np.ndarray) -> np.ndarray:
     return 1 + (codes >= 0x80) + (codes >= 0x800) + ((codes >= 0x10000) & (codes != _LITERAL))
 
 
-def lattices(vocabulary: Vocabulary, codes: np.ndarray, parts: Prefixes, start: np.ndarray, size: np.ndarray) -> Words:
-    n, length, longest = len(start), int(size.max()), vocabulary.longest
-    longest = min(longest, length)
-    end = np.minimum(start[:, None] + np.arange(1, length + 1), len(codes))
-    inside = np.arange(length) < size[:, None]
-    found, used = [], 1
-    for l in range(1, longest + 1):
-        w, j = np.nonzero(inside[:, l - 1:])
-        j += l - 1
-        e = end[w, j]
-        ids = vocabulary.lookup(parts.of(e - l, e))
+def lattices(vocabulary: Vocabulary, codes: np.ndarray, start: np.ndarray, size: np.ndarray) -> Words:
+    n, length = len(start), int(size.max())
+    kinds = vocabulary.classes[codes.view(np.int64)]
+    w = np.repeat(np.arange(n), size)
+    s = np.arange(len(w)) - np.repeat(np.cumsum(size) - size, size)
+    node, found, l = np.zeros(len(w), np.int64), [], 0
+    while len(w):  # all starts at once, as long as some piece begins so
+        node = vocabulary.step(node, kinds[start[w] + s + l])
+        on = node >= 0
+        w, s, node = w[on], s[on], node[on]
+        ids = vocabulary.piece_at[node]
         hit = np.flatnonzero(ids >= 0)
-        if len(hit):
-            found.append((w[hit], j[hit], l - 1, ids[hit]))
-            used = l
-    longest = used
-    piece = np.full((n, length, longest), -1, np.int32)
-    for w, j, l, ids in found:
-        piece[w, j, l] = ids
-    log = np.where(piece >= 0, vocabulary.logs[piece], np.float32(-np.inf))
-    w, j = np.nonzero(inside & (piece[:, :, 0] < 0))
-    piece[w, j, 0] = -2
-    log[w, j, 0] = utf8_size(codes[end[w, j] - 1]) * vocabulary.logs[vocabulary.byte_id]
-    alpha = np.full((n, length + 1), -np.inf)
-    count = np.zeros((n, length + 1))
-    alpha[:, 0], count[:, 0] = 0, 1
-    cum = np.ones((n, length, longest), np.float32)
+        found.append((s[hit] + l, w[hit], ids[hit]))
+        l += 1
+        on = s + l < size[w]
+        w, s, node = w[on], s[on], node[on]
+    longest = max([l + 1 for l, f in enumerate(found) if len(f[0])], default=1)
+    piece = np.full((length, n, longest), -1, np.int32)
+    for l, (j, w, ids) in enumerate(found[:longest]):
+        piece[j, w, l] = ids
+    weight = vocabulary.weights[piece]
+    j, w = np.nonzero((np.arange(length)[:, None] < size) & (piece[:, :, 0] < 0))
+    piece[j, w, 0] = -2
+    weight[j, w, 0] = np.exp(utf8_size(codes[start[w] + j]) * np.float64(vocabulary.logs[vocabulary.byte_id]))
+    has = (piece != -1).astype(np.float32)
+    sums, count, scale = np.zeros((length + 1, n)), np.zeros((length + 1, n), np.float32), np.zeros(n)
+    sums[0] = count[0] = 1
+    cum = np.ones((length, n, longest), np.float32)
     for j in range(length):
         top = min(j + 1, longest)
-        before = alpha[:, j - top + 1:j + 1][:, ::-1]
-        ways = log[:, j, :top] + before
-        best = ways.max(axis=1)
-        best = np.where(np.isfinite(best), best, 0)
-        chance = np.exp(ways - best[:, None])
-        sums = chance.sum(axis=1)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            alpha[:, j + 1] = best + np.log(sums)
-            cum[:, j, :top] = np.cumsum(chance, axis=1) / sums[:, None]
-        count[:, j + 1] = (count[:, j - top + 1:j + 1][:, ::-1] * np.isfinite(log[:, j, :top])).sum(axis=1)
+        ways = np.cumsum(weight[j, :, :top] * sums[j - top + 1:j + 1][::-1].T, axis=1)
+        sums[j + 1] = ways[:, -1]
+        with np.errstate(invalid="ignore"):
+            np.divide(ways, ways[:, -1:], out=cum[j, :, :top], casting="same_kind")
+        count[j + 1] = np.minimum((has[j, :, :top] * count[j - top + 1:j + 1][::-1].T).sum(axis=1), MANY)
+        if j % 8 == 7:  # long words' sums are kept in range
+            low = np.flatnonzero((sums[j + 1] < 1e-100) & (sums[j + 1] > 0))
+            if len(low):
+                sums[max(0, j + 2 - longest):j + 2, low] *= 1e100
+                scale[low] -= np.log(1e100)
     rows = np.arange(n)
-    return Words(size, piece, log, cum, alpha[rows, size], count[rows, size])
+    return Words(size, piece, cum, np.log(sums[size, rows]) + scale, count[size, rows].astype(np.float64))
 
 
 @dataclass
@@ -210,8 +239,8 @@ class Batch:
         self.bounds = np.searchsorted(self.doc, np.arange(len(texts) + 1))
         self.word = np.arange(len(begins)) - self.bounds[self.doc]
         self.key = _mix(np.array(keys, np.uint64) ^ _mix(np.full(len(keys), seed, np.uint64)))
-        parts = Prefixes(codes)
-        _, kind_first, self.kind = np.unique(parts.of(begins, begins + self.size), return_index=True, return_inverse=True)
+        self.base = self.key[self.doc] ^ _mix(self.word.astype(np.uint64) << np.uint64(24))
+        _, kind_first, self.kind = np.unique(Prefixes(codes).of(begins, begins + self.size), return_index=True, return_inverse=True)
         kind_size = self.size[kind_first] if len(begins) else self.size
         group = np.ceil(np.log2(np.maximum(kind_size, 1)) * 2).astype(int)  # lengths within half an octave share an array
         self.groups: list[Words] = []
@@ -219,7 +248,7 @@ class Batch:
         for g in np.unique(group).tolist():
             at = np.flatnonzero(group == g)
             self.kind_group[at], self.kind_row[at] = len(self.groups), np.arange(len(at))
-            self.groups.append(lattices(vocabulary, codes, parts, begins[kind_first[at]], kind_size[at]))
+            self.groups.append(lattices(vocabulary, codes, begins[kind_first[at]], kind_size[at]))
         self.total, self.count = (self._by_word(name) for name in ("total", "count"))
 
     def _by_word(self, name: str) -> np.ndarray:
@@ -230,51 +259,61 @@ class Batch:
         return out
 
     def _uniform(self, which: np.ndarray, sample: int, step: int) -> np.ndarray:
-        x = self.key[self.doc[which]] ^ _mix((self.word[which].astype(np.uint64) << np.uint64(24)) + np.uint64(step << 8) + np.uint64(sample + 1))
+        x = self.base[which] + np.uint64(((step << 8) + sample + 1) * int(_P) & (1 << 64) - 1)
         return (_mix(x) >> np.uint64(11)) * 2.0**-53
 
+    def _log(self, piece: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Log-probability of pieces, bytes among them, that end at places of the batch."""
+        out = self.vocabulary.logs[piece]
+        raw = np.flatnonzero(piece == -2)
+        out[raw] = utf8_size(self.codes[end[raw]]) * self.vocabulary.logs[self.vocabulary.byte_id]
+        return out
+
     def draw(self, which: np.ndarray, sample: int, turn: int = 0) -> Path:
         """An independent segmentation of each word in `which`, from its end to its start."""
-        steps = []
+        steps, taken = [], np.zeros(len(which), np.int64)
+        kind = self.kind[which]
+        group = self.kind_group[kind]
         for g, words in enumerate(self.groups):
-            at = np.flatnonzero(self.kind_group[self.kind[which]] == g)
-            row = self.kind_row[self.kind[which[at]]]
-            j, step = words.size[row].copy(), turn << 12
+            at = np.flatnonzero(group == g)
+            row = self.kind_row[kind[at]]
+            j, step, n = words.size[row].copy(), turn << 12, 0
             while len(at):
                 u = self._uniform(which[at], sample, step)
-                l = (words.cum[row, j - 1] <= u[:, None]).sum(axis=1)
-                l = np.minimum(l, np.minimum(j, words.cum.shape[2]) - 1)
-                steps.append((at, j, words.piece[row, j - 1, l], words.log[row, j - 1, l]))
+                l = (words.cum[j - 1, row] > u[:, None]).argmax(axis=1)  # the last entry is 1, u is below
+                steps.append((at, j, words.piece[j - 1, row, l], n))
+                taken[at] += 1
                 j = j - l - 1
                 more = j > 0
-                at, row, j, step = at[more], row[more], j[more], step + 1
-        at, j, piece, log = (np.concatenate(c) if steps else np.zeros(0, np.int64) for c in (zip(*steps, strict=True) if steps else [()] * 4))
-        order = np.lexsort((j, at))
-        at, j = at[order], j[order]
-        first = np.searchsorted(at, np.arange(len(which) + 1))
-        sums = np.bincount(at, log[order], len(which)) - self.total[which]
-        return Path(first, piece[order], self.start[which[at]] + j - 1, np.minimum(sums, 0))
+                at, row, j, step, n = at[more], row[more], j[more], step + 1, n + 1
+        first = np.r_[0, np.cumsum(taken)]
+        piece, end = np.zeros(first[-1], np.int32), np.zeros(first[-1], np.int64)
+        for at, j, own, n in steps:  # the n-th from the end
+            place = first[at + 1] - 1 - n
+            piece[place], end[place] = own, self.start[which[at]] + j - 1
+        log = np.add.reduceat(np.r_[self._log(piece, end).astype(np.float64), 0.0], np.minimum(first[:-1], len(piece))) * (taken > 0)
+        return Path(first, piece, end, np.minimum(log - self.total[which], 0))
 
     def _walk(self, i: int, sample: int, turn: int) -> tuple[list[int], list[int], float]:
         """What `draw` gives for one word: pieces, ends and log-probability."""
         words, row = self.groups[self.kind_group[self.kind[i]]], self.kind_row[self.kind[i]]
-        j, step, pieces, ends, log = int(words.size[row]), turn << 12, [], [], 0.0
+        j, step, pieces, ends = int(words.size[row]), turn << 12, [], []
         while j:
             u = self._uniform(np.array([i]), sample, step)[0]
-            l = min(int((words.cum[row, j - 1] <= u).sum()), min(j, words.cum.shape[2]) - 1)
-            pieces.insert(0, int(words.piece[row, j - 1, l]))
-            ends.insert(0, int(self.start[i]) + j - 1)
-            log += float(words.log[row, j - 1, l])
+            l = int((words.cum[j - 1, row] > u).argmax())
+            pieces.append(int(words.piece[j - 1, row, l]))
+            ends.append(int(self.start[i]) + j - 1)
             j, step = j - l - 1, step + 1
-        return pieces, ends, min(0.0, log - float(words.total[row]))
+        log = float(self._log(np.array(pieces), np.array(ends)).sum(dtype=np.float64))
+        return pieces[::-1], ends[::-1], min(0.0, log - float(words.total[row]))
 
     def segments(self, path: Path, i: int) -> tuple:
         return tuple(path.end[path.first[i]:path.first[i + 1]].tolist())
 
     def other(self, i: int, taken: set[tuple], sample: int) -> tuple[np.ndarray, np.ndarray, float]:
-        """A segmentation of word i that isn't in `taken`: pieces, ends and log-probability."""
-        which, turn = np.array([i]), 0
-        while turn < TRIES or self.count[i] > LISTED:
+        """A segmentation of word i that isn't in `taken`, after TRIES draws that were: pieces, ends and log-probability."""
+        which, turn = np.array([i]), TRIES
+        while self.count[i] > LISTED:
             turn += 1
             pieces, ends, log = self._walk(i, sample, turn)
             if tuple(ends) not in taken:
@@ -288,9 +327,11 @@ class Batch:
                 if tuple(ends) not in taken:
                     listed.append((log - float(words.total[row]), pieces, ends))
                 continue
+            end = int(self.start[i]) + j - 1
             for l in range(min(j, words.piece.shape[2])):
-                if words.piece[row, j - 1, l] != -1:
-                    open_.append((j - l - 1, log + words.log[row, j - 1, l], [int(words.piece[row, j - 1, l]), *pieces], [int(self.start[i]) + j - 1, *ends]))
+                if words.piece[j - 1, row, l] != -1:
+                    own = words.piece[j - 1, row, l:l + 1]
+                    open_.append((j - l - 1, log + float(self._log(own, np.array([end]))[0]), [int(own[0]), *pieces], [end, *ends]))
         chances = np.exp([x[0] for x in listed])
         u = float(self._uniform(which, sample, 0xFFF)[0])
         log, pieces, ends = listed[min(int(np.searchsorted(np.cumsum(chances) / chances.sum(), u)), len(listed) - 1)]
@@ -306,12 +347,13 @@ class Batch:
         value = -np.log(-np.log(np.maximum(_mix(self.key + np.uint64(7)) >> np.uint64(11), np.uint64(1)) * 2.0**-53))
         alive = np.ones(texts, bool)
         for s in range(k):
-            path = self.draw(words, s)
-            mass, forbidden = np.exp(path.log), np.ones(len(words))
-            from_ = np.zeros(len(words), bool)
+            fresh = words[alive[self.doc] & (self.word > branch[self.doc, s])]
+            path = self.draw(fresh, s)
+            forbidden, from_ = np.ones(len(words)), np.zeros(len(words), bool)
+            if s:
+                path = self._joined(fresh, path, paths, parent[:, s], branch[:, s], s, alive, parent, branch)
+            mass = np.exp(path.log)
             if s:
-                path = self._joined(path, paths, parent[:, s], branch[:, s], s, alive, parent, branch)
-                mass = np.exp(path.log)
                 for d in np.flatnonzero(alive & (branch[:, s] >= 0)).tolist():
                     w = self.bounds[d] + branch[d, s]
                     mass[w] += masses[parent[d, s]][w]
@@ -352,25 +394,45 @@ class Batch:
             out.append(s)
         return out
 
-    def _joined(self, fresh: Path, paths: list[Path], parent: np.ndarray, branch: np.ndarray, s: int, alive: np.ndarray, parents: np.ndarray, branches: np.ndarray) -> Path:
-        """Up to its branching word a path is its parent's; there it differs; beyond, it is fresh."""
-        pieces, ends, first, size, log = [fresh.piece], [fresh.end], fresh.first[:-1].copy(), np.diff(fresh.first), fresh.log.copy()
-        shift = len(fresh.piece)
-        old = self.word < np.where(branch < 0, 0, branch)[self.doc]
+    def _joined(self, which: np.ndarray, fresh: Path, paths: list[Path], parent: np.ndarray, branch: np.ndarray, s: int, alive: np.ndarray, parents: np.ndarray, branches: np.ndarray) -> Path:
+        """Up to its branching word a path is its parent's; there it differs; beyond, it is fresh. Texts without a path have no pieces."""
+        words = len(self.start)
+        first, size, log = np.zeros(words, np.int64), np.zeros(words, np.int64), np.zeros(words)
+        first[which], size[which], log[which] = fresh.first[:-1], np.diff(fresh.first), fresh.log
+        pieces, ends, shift = [fresh.piece], [fresh.end], len(fresh.piece)
+        old = alive[self.doc] & (self.word < np.where(branch < 0, 0, branch)[self.doc])
         for p, path in enumerate(paths):
             at = np.flatnonzero(old & (parent[self.doc] == p))
             first[at], size[at], log[at] = path.first[at] + shift, np.diff(path.first)[at], path.log[at]
             pieces.append(path.piece)
             ends.append(path.end)
             shift += len(path.piece)
-        for d in np.flatnonzero(alive & (branch >= 0)).tolist():
-            i = int(self.bounds[d] + branch[d])
-            taken = {self.segments(paths[q], i) for q in self._taken(d, int(parent[d]), int(branch[d]), parents, branches)}
-            own, end, log[i] = self.other(i, taken, s)
-            first[i], size[i] = shift, len(own)
+
+        def put(i: int, own: np.ndarray, end: np.ndarray, value: float) -> None:
+            nonlocal shift
+            first[i], size[i], log[i] = shift, len(own), value
             pieces.append(own)
             ends.append(end)
             shift += len(own)
+
+        left = []
+        for d in np.flatnonzero(alive & (branch >= 0)).tolist():
+            i = int(self.bounds[d] + branch[d])
+            left.append((i, {self.segments(paths[q], i) for q in self._taken(d, int(parent[d]), int(branch[d]), parents, branches)}))
+        for turn in range(1, TRIES + 1):
+            if not left:
+                break
+            tried = self.draw(np.array([i for i, _ in left]), s, turn)
+            again = []
+            for k, (i, taken) in enumerate(left):
+                if self.segments(tried, k) in taken:
+                    again.append((i, taken))
+                else:
+                    part = slice(tried.first[k], tried.first[k + 1])
+                    put(i, tried.piece[part], tried.end[part], tried.log[k])
+            left = again
+        for i, taken in left:
+            put(i, *self.other(i, taken, s))
         bounds = np.r_[0, np.cumsum(size)]
         where = np.repeat(first - bounds[:-1], size) + np.arange(bounds[-1])
         return Path(bounds, np.concatenate(pieces)[where], np.concatenate(ends)[where], log)
@@ -420,16 +482,8 @@ def sampled_pieces(docs: DataFrame, k: int = 2, seed: int = 0, model: str | None
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = shared.value
-        for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            at = 0
-            while at < len(texts):
-                to, size = at, 0
-                while to < len(texts) and (to == at or size + len(texts[to]) <= PIECE):
-                    size += len(texts[to])
-                    to += 1
-                yield from _rows(vocabulary, ids[at:to], texts[at:to], k, seed)
-                at = to
+        for batch in slices(batches, 1, PIECE):
+            yield from _rows(vocabulary, batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()], k, seed)
 
     rows = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text")
     return rows.mapInArrow(of, _SCHEMA)
@@ -443,8 +497,8 @@ def _rows(vocabulary: Vocabulary, doc_ids: list, texts: list[str], k: int, seed:
         ids, bounds = batch.ids(path)
         has = np.flatnonzero(np.isfinite(values[:, s]))
         same = [a == b for a, b in zip(decode(vocabulary, ids, bounds), raw, strict=True)]
-        gap = logs[:, s] - beyond
-        with np.errstate(over="ignore", divide="ignore"):
+        with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
+            gap = logs[:, s] - beyond
             inclusion = np.where(gap < -30, gap, np.log(-np.expm1(-np.exp(np.minimum(gap, 700)))))
         lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))
         columns = [

@@ -254,6 +254,25 @@ def test_samples_follow_the_lattice(vocabulary, word):
             assert abs(second[k] / first[top] - p) < 5 * math.sqrt(max(p * (1 - p), 0) / first[top]) + 5e-3
 
 
+def test_inclusion_scores_weigh_samples(vocabulary):
+    """Probability over inclusion chance, summed over a text's samples, is 1 on average."""
+    want, n, sums = segmentations(vocabulary, "on in"), 4000, Counter()
+    for batch in pieces._rows(vocabulary, list(range(n)), ["on in"] * n, 2, 3):
+        for d, ids, log in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "ids", "log_inclusion")), strict=True):
+            sums[d] += math.exp(want[tuple(ids)] - log)
+    found = np.array([sums[d] for d in range(n)])
+    assert abs(found.mean() - 1) < 4 * found.std() / math.sqrt(n)
+
+
+def test_the_models_own_decoder_gives_the_text_back(vocabulary):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+    texts = ["the cat sat on the mat", "Hello\nworld\t!", "日本語 \U0001F600 é́", "a " * 50 + "b"]
+    for batch in pieces._rows(vocabulary, list(range(len(texts))), texts, 2, 0):
+        assert [model.decode(ids) for ids in batch.column("ids").to_pylist()] == texts
+
+
 def test_codes_know_parallel_error():
     rng = np.random.default_rng(0)
     x = rng.standard_normal((2000, 16))
