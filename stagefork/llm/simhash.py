@@ -206,16 +206,13 @@ def _within_blocks(members: DataFrame, most: int) -> DataFrame:
     rows = members.withColumn("own", own)
     near = rows.where("near").select("part", "key", "fp", "component", F.col("own").alias("right"), every.alias("left"), F.lit(True).alias("near"))
     far = rows.select("part", "key", "fp", "component", F.col("own").alias("left"), every.alias("right"), F.lit(False).alias("near"))
-    groups = near.unionByName(far).groupBy("part", "key", "left", "right").agg(
-        F.collect_list("fp").alias("fp"), F.collect_list("component").alias("component"), F.collect_list("near").alias("near"))
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [x for row in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True) for x in spanning(*row, most)]
-            a, b = zip(*found, strict=True) if found else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+    def of(group: pa.Table) -> pa.Table:
+        found = spanning(*(group.column(c).to_pylist() for c in ("fp", "component", "near")), most)
+        a, b = zip(*found, strict=True) if found else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return groups.select("fp", "component", "near").mapInArrow(of, "a long, b long")
+    return near.unionByName(far).groupBy("part", "key", "left", "right").applyInArrow(of, "a long, b long")
 
 
 def linked(fps: DataFrame, most: int = 4, parts: int = 2) -> DataFrame:
