@@ -1,10 +1,10 @@
 """Secret scans: fixed patterns, and novelty under a primed zstandard compressor.
 
-Patterns find assignments, access keys and long hex runs. Beyond them, every
-string that stands close behind a sensitive word is a candidate: its novelty is
-the number of bytes that it adds to the compressed form of the code before it,
-under a dictionary of common identifiers. Strings that hardly compress are
-reported as well. Whole texts are scanned.
+Patterns find assignments, access keys and long hex runs. Beyond them, every long
+string near a sensitive word of its line, before it or behind, is a candidate: its
+novelty is the number of bytes that it adds to the compressed form of the code around
+it, under a dictionary of common identifiers. Strings that hardly compress are reported
+as well, whole. Whole texts are scanned.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import slices, table
 
 ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -28,12 +28,13 @@ KINDS = ("assign", "access", "hex", "novel")
 #: One of these stands in every assignment.
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-#: Words behind which a string may be a secret, and how far it may stand from them.
+#: Words near which a string may be a secret.
 SENSITIVE = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "api-key", "private_key", "access_key",
              "auth_key", "authorization", "bearer", "credential", "client_id", "signing_key", "session_id", "license_key")
-REACH = 64
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-#: Code before a candidate that the compressor sees first.
+_SENSITIVE = re.compile("|".join(SENSITIVE))
+#: Parts joined by dots, with padding behind, but not the host of a mail address; least length.
+CANDIDATE, LEAST = re.compile(r"(?<![@A-Za-z0-9+/_.-])[A-Za-z0-9+/_-]+(?:\.[A-Za-z0-9+/_-]+)*={0,2}"), 16
+#: Characters on either side of a candidate that the compressor sees with it, and in which a sensitive word counts.
 CONTEXT = 256
 #: Added bytes for each byte of the candidate from which it is reported.
 NOVELTY = 0.7
@@ -61,17 +62,16 @@ IDENTIFIERS = (
 
 
 class Novelty:
-    """Marginal compressed bytes of a string behind its context."""
+    """Marginal compressed bytes of a string in its context, for each of its own."""
 
     def __init__(self, identifiers: str = IDENTIFIERS, level: int = 3):
         primed = zstandard.ZstdCompressionDict(identifiers.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         self.compressor = zstandard.ZstdCompressor(
             level=level, dict_data=primed, write_checksum=False, write_content_size=False, write_dict_id=False)
 
-    def __call__(self, before: str, candidate: str) -> float:
-        context = before.encode("utf-8", "surrogatepass")
-        own = candidate.encode()
-        added = len(self.compressor.compress(context + own)) - len(self.compressor.compress(context))
+    def __call__(self, before: str, candidate: str, behind: str = "") -> float:
+        first, own, last = (s.encode("utf-8", "surrogatepass") for s in (before, candidate, behind))
+        added = len(self.compressor.compress(first + own + last)) - len(self.compressor.compress(first + last))
         return added / len(own)
 
 
@@ -87,27 +87,23 @@ def base_spans(text: str, low: str) -> list[tuple[int, int, str]]:
 
 
 def novel_spans(text: str, low: str, base: list, novelty: Novelty, least: float = NOVELTY) -> list[tuple[int, int, str]]:
-    """Candidates close behind a sensitive word that hardly compress and touch no base span."""
-    seen, found = set(), []
-    for word in SENSITIVE:
-        at = low.find(word)
-        while at >= 0:
-            behind = at + len(word)
-            for m in CANDIDATE.finditer(text, behind, min(len(text), behind + REACH + 512)):
-                start, end = m.span()
-                if start > behind + REACH:
-                    break
-                if start in seen:
-                    continue
-                seen.add(start)
-                own = m.group()
-                if not (any(c.isdigit() for c in own) and any(c.isalpha() for c in own)):
-                    continue
-                if any(start < e and s < end for s, _, e in base):
-                    continue
-                if novelty(text[max(0, start - CONTEXT):start], own) >= least:
-                    found.append((start, 3, end))
-            at = low.find(word, behind)
+    """Candidates near a sensitive word of their line that hardly compress and don't lie in a base span."""
+    found, done = [], 0
+    for word in _SENSITIVE.finditer(low):
+        begin, until = text.rfind("\n", 0, word.start()) + 1, text.find("\n", word.end())
+        until = len(text) if until < 0 else until
+        # A candidate begins in reach of the word or, where it stands before, ends there; its own length has no bound.
+        for m in CANDIDATE.finditer(text, max(begin, done), until):
+            start, end = m.span()
+            if start > word.end() + CONTEXT:
+                break
+            if end < word.start() - CONTEXT:
+                continue
+            done = end
+            if end - start < LEAST or any(s <= start and end <= e for s, _, e in base):
+                continue
+            if novelty(text[max(0, start - CONTEXT):start], m.group(), text[end:end + CONTEXT]) >= least:
+                found.append((start, 3, end))
     return found
 
 
@@ -141,7 +137,7 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         novelty = Novelty()
-        for batch in batches:
+        for batch in slices(batches, 1):
             out = []
             for text in batch.column(1).to_pylist():
                 base, spans = scan(text, novelty)

@@ -77,6 +77,22 @@ def test_novelty_finds_random_strings_and_leaves_words():
     assert secrets.scan(None, secrets.Novelty()) == ([], [])
 
 
+def test_whole_spans_on_either_side_of_a_word():
+    rng = np.random.default_rng(3)
+    own = lambda n: "".join(rng.choice(list("abcdefghijkmnopqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ0123456789"), n))
+    long, jwt = own(900), f"{own(30)}.{own(70)}.{own(43)}"
+    novelty = secrets.Novelty()
+    assert secrets.joined(secrets.scan(f"my credential is {long} indeed", novelty)[1]) == f"novel:17:{17 + 900}"
+    assert secrets.joined(secrets.scan(f"{long} is the session_id", novelty)[1]) == "novel:0:900"
+    assert secrets.joined(secrets.scan(f"Authorization: Bearer {jwt}\n", novelty)[1]) == f"novel:22:{22 + len(jwt)}"
+    assert secrets.scan(f"the session_id\n{long}", novelty)[1] == []  # on another line
+    letters = "".join(rng.choice(list("bcdfghjklmnpqrstvwxzBCDFGHJKLMNPQRSTVWXZ"), 40))
+    assert secrets.joined(secrets.scan(f"bearer {letters}", novelty)[1]) == "novel:7:47"
+    part = f"{own(12)}xyz{'0a' * 13}QQ{own(20)}"  # a hex run inside a longer string
+    spans = secrets.joined(secrets.scan(f"bearer {part}", novelty)[1])
+    assert "hex:" in spans and f"novel:7:{7 + len(part)}" in spans
+
+
 def test_classifier_learns_and_handles_edges():
     rng = np.random.default_rng(0)
     good = [b" ".join(rng.choice([b"alpha", b"beta", b"gamma", b"delta"], 60)) for _ in range(150)]
