@@ -153,6 +153,17 @@ def test_url_templates_learn_from_labels(spark):
     assert {r["template"] for r in got} == {"/spam/#", "/news/#"}
 
 
+def test_url_purity_counts_labelled_pages_only(spark):
+    """Few labelled pages decide for the unlabelled ones of their template, however many, and at any depth."""
+    made = [(i, f"http://h.test/a/b/c/d/e/{'bad' if i % 50 == 0 else 'good'}/{i}", (i % 50 == 0) if i % 5 == 0 else None) for i in range(5000)]
+    made += [(10_000 + i, f"http://h.test/a/b/c/d/e/bad/{i}", None) for i in range(3000)]
+    made += [(20_000, "http://h.test/" + "x/" * 100, None)]
+    pages = spark.createDataFrame(made, "page_id long, url string, marked boolean")
+    got = rows(url_filter.url_verdicts(pages, bad=pages["marked"]))
+    assert len(got) == len(made)
+    assert all(r["verdict"] == ("block" if "/bad/" in r["path"] else "allow") for r in got)
+
+
 @pytest.mark.parametrize("folder", [MORE, "odd"])
 def test_secret_scan(spark, odd, folder):
     folder = odd if folder == "odd" else folder
