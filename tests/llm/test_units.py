@@ -174,36 +174,58 @@ def test_spanning_lines_equals_brute_force():
     assert got == group
 
 
-def model(words, ctx, c):
-    hashes = M._hashes(words)
-    word, ctx, c = np.array(ctx[0]), np.array(ctx[1]), np.array(c)
-    corpus = M.Corpus(int(c.sum()), len(words), len(word))
-    for s in range(M.SWEEPS):
-        t, customers, top = M.sweeps(word, ctx, c, hashes, corpus, s)[-1]
-        names, where = np.unique(ctx, return_inverse=True)
-        corpus.sweeps.append(M.Totals(names, np.bincount(where, c), np.bincount(where, t), customers.sum(), top.sum()))
-    return corpus, word, ctx, c
-
-
-def test_probabilities_add_up_to_one():
-    words = ["", "a", "bb", "ccc", "dd"]
-    corpus, word, ctx, c = model(words, ([0, 0, 1, 1, 2, 3, 4], [97, 98, 0, 97, 98, 98, 0]), [5, 1, 9, 2, 40, 1, 3])
-    own, parents = M.pair_probabilities(words, word, ctx, c, corpus)
-    for context in (0, 97, 98, 120):  # the last one was never seen
-        total = 0.0
-        for w in range(len(words)):
-            at = np.flatnonzero((word == w) & (ctx == context))
-            p = own[at[0]] if len(at) else np.mean([M.after(np.array([context]), q[[w]], 0.0, last)[0] for q, last in zip(parents, corpus.sweeps[-M.SAMPLES:], strict=True)])
-            total += p
-        zero = np.zeros(1)
-        unknown = np.mean([M.after(np.array([context]), M.predictive(zero, zero, last, corpus.v), 0.0, last)[0] for last in corpus.sweeps[-M.SAMPLES:]])
-        assert total + unknown == pytest.approx(1.0, abs=1e-9)
-
-
-def test_seats():
-    c = np.array([0, 1, 2, 1000, 100_000])
-    t = M.seated(c, np.full(5, 1e-3), 0.75, np.full(5, 100.0), M._hashes(list("abcde")))
+def seat_chances(c, mass, discount, prior):
+    """Chance of each number of tables for c customers of a dish, by following every seating customer by customer."""
+    weights = {(1,): mass * prior}
+    for _ in range(c - 1):
+        more = Counter()
+        for sizes, w in weights.items():
+            for i, n in enumerate(sizes):
+                more[tuple(sorted((*sizes[:i], n + 1, *sizes[i + 1:])))] += w * (n - discount)
+            more[tuple(sorted((*sizes, 1)))] += w * (mass + discount * len(sizes)) * prior
+        weights = more
+    out = np.zeros(c + 1)
+    for sizes, w in weights.items():
+        out[len(sizes)] += w
+    return out / out.sum()
+
+
+@pytest.mark.parametrize("c, mass, prior", [(2, 1.0, 0.3), (5, 40.0, 0.01), (6, 3.0, 0.5), (8, 900.0, 0.002)])
+def test_seats_follow_the_exact_conditional(c, mass, prior):
+    n = 20_000
+    for discount in (M.D0, M.D1):
+        t = M.seated(np.full(n, c), np.full(n, prior), discount, np.full(n, mass), np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        want = seat_chances(c, mass, discount, prior)
+        got = np.bincount(t.astype(int), minlength=c + 1) / n
+        assert (np.abs(got - want) < 5 * np.sqrt(want * (1 - want) / n) + 1e-4).all()
+
+
+def test_seats_of_many_customers():
+    c = np.array([0, 1, 2, M.EXACT, M.EXACT + 1, 1000, 100_000])
+    t = M.seated(c, np.full(7, 1e-3), 0.75, np.full(7, 100.0), M._hashes(list("abcdefg")))
     assert t[0] == 0 and t[1] == 1 and (t <= c).all() and (t[1:] >= 1).all()
+    # Beside the bound, both ways of drawing agree on average.
+    n = 4000
+    key = np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    few, many = (M.seated(np.full(n, k), np.full(n, 0.01), 0.75, np.full(n, 50.0), key).mean() for k in (M.EXACT, M.EXACT + 1))
+    assert few == pytest.approx(many, rel=0.05)
+
+
+def test_blocks_end_before_their_bits_do():
+    """Entries keep document, flag, context and count apart at the bounds, and counts beyond a field's bits are split."""
+    n = M.BLOCK_DOCS
+    words = M._Ids()
+    for w in (b"", b"a", b"the"):
+        words[w]
+    ids, sizes = [0] * (n - 1) + [1] * 1200 + [2] * 5 + [0], [1] * (n - 1) + [1206]
+    names, first, entries = M._packed(ids, sizes, [True] * (n - 1) + [False], words, {b"the": 0})
+    assert (entries >= 0).all() and entries.max() < 1 << 48
+    count, ctx, flag, doc = entries & 511, (entries >> 9) & (M.CONTEXTS - 1), (entries >> 30) & 1, entries >> 31
+    own = slice(first[1], first[2])
+    assert count[own].sum() == 1200 and set(doc[own].tolist()) == {n - 1} and set(flag[own].tolist()) == {0}
+    assert set(ctx[own].tolist()) == {0, M.place_of(b"a")} and count[first[0]:first[1]].sum() == n
+    sliced = {names[i]: count[first[i]:first[i + 1]].sum() for i in range(3, len(names)) if first[i] < first[i + 1]}
+    assert sum(sliced.values()) == 5 and set(sliced) == {f"the {M.place_of(w) % M.SLICED}" for w in (b"a", b"the")}
 
 
 @pytest.fixture(scope="module")
