@@ -28,6 +28,8 @@ SAMPLE = 8192
 GROUP, ROUNDS, ALONG = 4, 8, 4.0
 #: Queries of a block; candidates of a partition's batch that are reranked, for each result.
 QUERY_BLOCK, RERANK = 4096, 48
+#: Share of a batch's rows that is reranked at least, so that recall doesn't fall as batches grow.
+RERANKED = 1 / 8
 
 
 @dataclass
@@ -158,7 +160,7 @@ def search_block(index: DataFrame, books: Codebooks, ids: np.ndarray, queries: n
                 approx = luts[i, 0].take(codes[0])
                 for g in range(1, books.groups):
                     approx += luts[i, g].take(codes[g])
-                best = _first(approx, own, k * rerank)
+                best = _first(approx, own, max(k * rerank, int(len(own) * RERANKED)))
                 best = best[own[best] != query_id]
                 # Differences are summed in component order, as an exact scan would.
                 far = np.sqrt(np.add.accumulate((x[best] - q[i]) ** 2, axis=1)[:, -1])

@@ -15,7 +15,7 @@ import pytest
 from test_units import brute_fingerprint
 
 import corpus_pipeline
-from stagefork.llm import line_dedup as L, lm_score as M, near_copies, queries, url_filter
+from stagefork.llm import ann, line_dedup as L, lm_score as M, near_copies, queries, url_filter
 
 SMALL, MORE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 WORD = re.compile("[^\x20\x09-\x0D]+")
@@ -112,6 +112,23 @@ def test_nearest(spark, odd, folder):
     assert all(r["score"] == pytest.approx(want[r["query_id"], r["rank"]][0], abs=0.05) for r in got)
 
 
+def test_nearest_recall_where_codes_decide(spark):
+    """20,000 vectors in full batches, of which an eighth is reranked; scores are the exact distances of the vectors returned."""
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((20_000, 32)).astype(np.float32) + 2 * rng.standard_normal((40, 32)).astype(np.float32)[rng.integers(0, 40, 20_000)]
+    made = spark.createDataFrame(pa.table({"vec_id": np.arange(20_000), "embedding": x.tolist()}).to_pandas(), "vec_id long, embedding array<float>").coalesce(2)
+    got, y = defaultdict(dict), x.astype(float)
+    for r in rows(ann.nearest(made, every=200)):
+        got[r["query_id"]][r["vec_id"]] = r["score"]
+    hits = []
+    for q, found in got.items():
+        far = np.sqrt(((y - y[q]) ** 2).sum(axis=1))
+        far[q] = np.inf
+        hits.append(len(set(np.argsort(far)[:10].tolist()) & found.keys()))
+        assert all(s == pytest.approx(far[v], rel=1e-12) for v, s in found.items())
+    assert len(got) == 100 and np.mean(hits) / 10 >= 0.95
+
+
 @pytest.mark.parametrize("folder", [MORE, "odd"])
 def test_simhash(spark, odd, folder):
     docs = documents(odd if folder == "odd" else folder)
@@ -181,6 +198,16 @@ def test_secret_scan(spark, odd, folder):
         assert hashlib.sha256(",".join(base).encode()).hexdigest() == r["base_sha256"]
 
 
+@pytest.mark.parametrize("name", ["url_rules", "secret_base", "mix_targets"])
+def test_contract_columns_equal_sql(spark, name):
+    for table in ("documents", "pages"):
+        duckdb.sql(f"create or replace view {table} as select * from '{MORE}/{table}.parquet'")
+    got = queries.QUERIES[name](spark, MORE)
+    plain = lambda row: tuple(round(v, 6) if isinstance(v, float) else v for v in row)
+    want = Counter(map(plain, duckdb.sql(f"select {', '.join(got.columns)} from ({queries.SQL[name]})").fetchall()))
+    assert Counter(map(plain, got.collect())) == want
+
+
 def test_exact_dedup_equals_sql(spark):
     duckdb.sql(f"create or replace view documents as select * from '{MORE}/documents.parquet'")
     names = ("doc_id", "keep_id", "group_size", "kept", "text_sha256")
