@@ -116,7 +116,7 @@ def test_nearest_recall_where_codes_decide(spark):
     """20,000 vectors in full batches, of which an eighth is reranked; scores are the exact distances of the vectors returned."""
     rng = np.random.default_rng(11)
     x = rng.standard_normal((20_000, 32)).astype(np.float32) + 2 * rng.standard_normal((40, 32)).astype(np.float32)[rng.integers(0, 40, 20_000)]
-    made = spark.createDataFrame(pa.table({"vec_id": np.arange(20_000), "embedding": x.tolist()}).to_pandas(), "vec_id long, embedding array<float>").coalesce(2)
+    made = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<float>").coalesce(2)
     got, y = defaultdict(dict), x.astype(float)
     for r in rows(ann.nearest(made, every=200)):
         got[r["query_id"]][r["vec_id"]] = r["score"]
