@@ -139,7 +139,3 @@ def design_checks(r: Retrieval) -> DataFrame:
 
 def run_counts(r: Retrieval) -> DataFrame:
     return intervention_log(r).agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("query_id").alias("n_queries"), F.countDistinct("query_id", "doc_id").alias("n_pairs"))
-
-
-def content_stopwords() -> tuple[str, ...]:
-    return CONTENT_STOPWORDS
