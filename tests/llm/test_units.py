@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 from collections import Counter
 
@@ -330,3 +331,19 @@ def test_first_takes_smaller_ids_among_ties():
 
 def test_empty_digest():
     assert secrets.joined([]) == "" and len(hashlib.sha256(b"").hexdigest()) == 64
+
+
+@pytest.mark.parametrize("letters", ["ab", "abcdefghij ", "a\0é漢\U0001F600\U0010FFFF"])
+def test_similar_pairs_agree_with_sets(letters):
+    rng = random.Random(5)
+    for _ in range(40):
+        a, b = [], []
+        for _ in range(rng.randint(0, 40)):
+            x = [rng.choice(letters) for _ in range(rng.choice([1, 2, 3, 5, 30, 200]))]
+            y = x[:rng.choice([1, 2, 1000, 1000])]
+            for _ in range(rng.choice([0, 1, 2, 9])):
+                y[rng.randrange(len(y))] = rng.choice(letters)
+            a.append("".join(x))
+            b.append("".join(y))
+        sets = [({s[i:i + 3] for i in range(max(1, len(s) - 2))}, {t[i:i + 3] for i in range(max(1, len(t) - 2))}) for s, t in zip(a, b, strict=True)]
+        assert L.similar_pairs(a, b).tolist() == [5 * len(x & y) >= 4 * len(x | y) for x, y in sets]
