@@ -27,8 +27,7 @@ def tokenize(text: Column) -> Column:
 
 def without(tokens: Column, stopwords=CONTENT_STOPWORDS) -> Column:
     """Tokens that aren't stop words, in order and with repeats."""
-    words = F.array(*map(F.lit, stopwords))
-    return F.filter(tokens, lambda t: ~F.array_contains(words, t))
+    return F.filter(tokens, lambda t: ~t.isin(*stopwords))
 
 
 def index_terms(text: Column) -> Column:

@@ -107,7 +107,7 @@ def intervention_log(r: Retrieval) -> DataFrame:
             F.col("text").alias("injected_query"), "doc_id", F.col("bm25").alias("new_bm25"), F.col("dense").alias("new_dense"))
         before = r.baseline.select("query_id", "doc_id", F.col("rank").alias("base_rank"), F.col("ce").alias("base_ce"), F.col("bm25").alias("base_bm25"),
                                    F.col("dense").alias("base_dense"), F.col("provenance").alias("provenance_base"))
-        facts = r.docs.select("doc_id", "doc_len", "tokens").join(r.doc_vectors.groupBy("doc_id").agg(F.first("norm").alias("norm")), "doc_id", "left")
+        facts = r.docs.select("doc_id", "doc_len", "tokens").join(r.doc_vectors.select("doc_id", "norm"), "doc_id", "left")
         all_ = rows.select("query_id", "query_text", "doc_id", "term", "arm", "injected_query").join(before, ["query_id", "doc_id"]).join(scores, ["injected_query", "doc_id"])
         all_ = all_.join(after, ["injected_query", "doc_id"], "left").join(facts, "doc_id")
         new_rank = F.coalesce("new_rank", F.lit(K + 1))

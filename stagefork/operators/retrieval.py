@@ -6,17 +6,26 @@ worlds use it.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.ranking import gain
-from ..functions.text import bigrams, index_terms, tokenize
+from ..functions.text import INDEX_STOPWORDS, bigrams, index_terms, tokenize, without
 
 K = 20
 K1, B = 1.5, 0.75
 BUCKETS = 64
+#: Vectors of one matrix; scores nearer than this may round to the same.
+PACK, NEAR = 1024, 2e-9
 #: Weights of a matched bigram and of length in the reranker.
 BIGRAM, LENGTH = 0.5, 0.1
 EXACT = "decimal(38,12)"
+#: (rows, key, text) to a table key, norm, v; (pairs, postings, documents) to a table text, doc_id, ce.
+Encoder = Callable[[DataFrame, str, str], DataFrame]
+Reranker = Callable[[DataFrame, DataFrame, DataFrame], DataFrame]
 
 
 def postings(docs: DataFrame) -> DataFrame:
@@ -24,7 +33,7 @@ def postings(docs: DataFrame) -> DataFrame:
 
     Contributions are decimals, so that their sums don't hang on the order of rows.
     """
-    rows = docs.select("doc_id", "doc_len", F.explode(index_terms(F.col("text"))).alias("term")).groupBy("term", "doc_id").agg(
+    rows = docs.select("doc_id", "doc_len", F.explode(without(F.col("tokens"), INDEX_STOPWORDS)).alias("term")).groupBy("term", "doc_id").agg(
         F.count(F.lit(1)).alias("tf"), F.first("doc_len").alias("dl"))
     df = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     whole = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("doc_len").alias("avgdl"))
@@ -54,28 +63,110 @@ def features(text: Column) -> Column:
 
 
 def hashed_vectors(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """key, bucket, v: signed counts of hashed tokens and neighbouring pairs; zero counts have no row."""
+    """key, norm, v: signed counts of hashed tokens and neighbouring pairs; a text without any has no row."""
     named = rows.select(key, F.explode(features(F.col(text))).alias("feature")).groupBy(key, "feature").agg(F.count(F.lit(1)).alias("n"))
     h = F.conv(F.substring(F.md5(F.col("feature").cast("binary")), 1, 8), 16, 10).cast("long")
     signed = named.select(key, (h % BUCKETS).cast("int").alias("bucket"), (F.col("n") * (1 - 2 * (F.floor(h / BUCKETS) % 2))).alias("n"))
-    return signed.groupBy(key, "bucket").agg(F.sum("n").alias("v")).where("v != 0")
+    counts = signed.groupBy(key, "bucket").agg(F.sum("n").alias("v")).where("v != 0")
+    one = counts.groupBy(key).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"), F.map_from_entries(F.collect_list(F.struct("bucket", "v"))).alias("at"))
+    v = F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda i: F.coalesce(F.try_element_at(F.col("at"), i), F.lit(0)).cast("double"))
+    return one.select(key, "norm", v.alias("v"))
+
+
+def _packed(vectors: DataFrame, key: str) -> DataFrame:
+    """keys, norms, v: PACK rows at most in one, their vectors one behind another."""
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, PACK):
+                keys, norm, v = batch.slice(at, PACK).columns
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in (keys, norm, v.flatten())], names=["keys", "norms", "v"])
 
+    rows = vectors.select(key, "norm", "v")
+    return rows.mapInArrow(of, f"keys array<{rows.schema[key].dataType.simpleString()}>, norms array<double>, v array<double>")
 
-def norms(vectors: DataFrame, key: str) -> DataFrame:
-    return vectors.groupBy(key).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
 
+def _cosine(dot: Column, norm: Column, q_norm: Column) -> Column:
+    return F.round(F.when(norm * q_norm > 0, dot / (norm * q_norm)).otherwise(0.0), 9)
 
-def dense_scores(texts: DataFrame, doc_vectors: DataFrame, docs: DataFrame) -> DataFrame:
-    """text, doc_id, dense for every text and document: cosines of integer vectors.
 
-    A document with no feature in common with a text scores zero. Sums of products
-    are whole numbers, so scores are the same in any order. `doc_vectors` carries norms.
+def dense_scores(texts: DataFrame, doc_vectors: DataFrame, encode: Encoder = hashed_vectors, prefix: str = "", k: int | None = None) -> DataFrame:
+    """text, doc_id, dense for texts and documents with a component in common: cosines.
+
+    Packs of documents meet packs of texts as matrices; packs of texts are broadcast
+    only where their measured size is within Spark's threshold. With `k`, a pack of
+    documents gives what can be among a text's `k` best: the k-th best of the pack and
+    what rounds to it, or all while the k-th isn't above zero, since documents without
+    a score count as zero. Hashed vectors are whole numbers, so their scores don't hang
+    on packs or order. `prefix` goes before each text.
+    """
+    asked = texts.select("text", F.concat(F.lit(prefix), "text").alias("asked"))
+    own = _packed(encode(asked, "text", "asked"), "text").hint("rebalance")
+    pairs = _packed(doc_vectors, "doc_id").crossJoin(own.toDF("texts", "q_norms", "q"))
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                keys, norm, v, words, q_norm, q = (c[i].values for c in batch.columns)
+                norm, q_norm = norm.to_numpy(), q_norm.to_numpy()
+                v, q = v.to_numpy().reshape(len(norm), -1), q.to_numpy().reshape(len(q_norm), -1)
+                dot = q @ v.T + 0.0
+                kept = (q != 0).astype(np.float32) @ (v != 0).astype(np.float32).T > 0
+                if k is not None and len(norm) > k:
+                    both = q_norm[:, None] * norm[None, :]
+                    score = np.where(kept, dot / np.where(both > 0, both, 1.0), -np.inf)
+                    least = -np.partition(-score, k - 1, axis=1)[:, k - 1:k]
+                    kept &= (score >= least - NEAR) | (least <= NEAR)
+                a, b = np.nonzero(kept)
+                yield pa.RecordBatch.from_arrays([words.take(pa.array(a)), keys.take(pa.array(b)), pa.array(dot[a, b]), pa.array(norm[b]), pa.array(q_norm[a])], names=["text", "doc_id", "dot", "norm", "q_norm"])
+
+    dots = pairs.mapInArrow(of, "text string, doc_id long, dot double, norm double, q_norm double")
+    return dots.select("text", "doc_id", _cosine(F.col("dot"), F.col("norm"), F.col("q_norm")).alias("dense"))
+
+
+def pair_dense_scores(pairs: DataFrame, doc_vectors: DataFrame, encode: Encoder = hashed_vectors, prefix: str = "") -> DataFrame:
+    """text, doc_id, dense for the given pairs alone; those with a text or document without a vector have no row."""
+    asked = pairs.select("text").distinct().withColumn("asked", F.concat(F.lit(prefix), "text"))
+    own = encode(asked, "text", "asked").toDF("text", "q_norm", "q")
+    dot = F.aggregate(F.zip_with("v", "q", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    rows = pairs.select("text", "doc_id").join(own, "text").join(doc_vectors, "doc_id")
+    return rows.select("text", "doc_id", _cosine(dot, F.col("norm"), F.col("q_norm")).alias("dense"))
+
+
+def encoder(function: Callable[[list[str]], np.ndarray], batch: int = 256) -> Encoder:
+    """An encoder for `dense_scores` from a function of texts that gives a row of numbers for each.
+
+    The function runs in tasks, on distinct texts and at most `batch` at a time. A null
+    text is encoded as an empty one.
     """
-    own = hashed_vectors(texts, "text", "text")
-    own = own.join(norms(own, "text").withColumnRenamed("norm", "q_norm"), "text").withColumnRenamed("v", "q")
-    dots = doc_vectors.join(own, "bucket").groupBy("text", "doc_id").agg(
-        F.sum(F.col("v") * F.col("q")).alias("dot"), F.first("norm").alias("norm"), F.first("q_norm").alias("q_norm"))
-    return dots.select("text", "doc_id", F.round(F.col("dot") / (F.col("norm") * F.col("q_norm")), 9).alias("dense"))
+    def encode(rows: DataFrame, key: str, text: str) -> DataFrame:
+        def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for rows_ in batches:
+                for at in range(0, rows_.num_rows, batch):
+                    keys, texts = rows_.slice(at, batch).columns
+                    v = np.asarray(function([t or "" for t in texts.to_pylist()]), np.float64).reshape(len(keys), -1)
+                    ends = pa.array(np.arange(0, v.size + 1, v.shape[1]), pa.int32())
+                    yield pa.RecordBatch.from_arrays([keys, pa.array(np.sqrt((v * v).sum(axis=1))), pa.ListArray.from_arrays(ends, pa.array(v.ravel()))], names=[key, "norm", "v"])
+
+        named = rows.select(F.col(key), F.col(text).alias("_encoded"))
+        return named.mapInArrow(of, f"`{key}` {named.schema[key].dataType.simpleString()}, norm double, v array<double>")
+
+    return encode
+
+
+def reranker(function: Callable[[list[tuple[str, str]]], list[float]], batch: int = 64, text_col: str = "ce_text") -> Reranker:
+    """A reranker for `Retrieval` from a function of (query, document) texts that gives a number for each pair."""
+    def score(pairs: DataFrame, posted: DataFrame, docs: DataFrame) -> DataFrame:
+        def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for rows in batches:
+                for at in range(0, rows.num_rows, batch):
+                    part = rows.slice(at, batch)
+                    found = function(list(zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True)))
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.asarray(found, np.float64))], names=["text", "doc_id", "ce"])
+
+        own = docs.select("doc_id", F.coalesce(F.col(text_col), F.lit("")).alias("_document"))
+        return pairs.join(own, "doc_id").select("text", "doc_id", "_document").mapInArrow(of, "text string, doc_id long, ce double")
+
+    return score
 
 
 def top(scores: DataFrame, score: str, texts: DataFrame, first_docs: DataFrame, k: int = K) -> DataFrame:

@@ -20,7 +20,7 @@ def words(text: Column) -> Column:
 def destopped(text: Column, stopwords=CONTENT_STOPWORDS) -> Column:
     """Without stop words; a text of stop words alone stays."""
     own = words(text)
-    left = F.filter(own, lambda w: ~F.array_contains(F.array(*map(F.lit, stopwords)), F.regexp_replace(F.lower(w), "^[.,?!;:]+|[.,?!;:]+$", "")))
+    left = F.filter(own, lambda w: ~F.regexp_replace(F.lower(w), "^[.,?!;:]+|[.,?!;:]+$", "").isin(*stopwords))
     return F.when(F.size(left) > 0, F.array_join(left, " ")).otherwise(text)
 
 

@@ -93,7 +93,7 @@ BUILDERS = {
     "query_texts": lambda r: r.queries,
     "bm25_scores": lambda r: _named(r, r.bm25(_texts(r))).where("bm25 > 0"),
     "bm25_topk": lambda r: _named(r, r.bm25_top(_texts(r))),
-    "emb_norms": lambda r: r.doc_vectors.groupBy("doc_id").agg(F.round(F.first("norm"), 9).alias("norm")),
+    "emb_norms": lambda r: r.doc_vectors.select("doc_id", F.round("norm", 9).alias("norm")),
     "dense_scores": lambda r: _named(r, r.dense(_texts(r))),
     "dense_topk": lambda r: _named(r, r.dense_top(_texts(r))),
     "topk_single": _single,

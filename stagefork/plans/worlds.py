@@ -14,13 +14,22 @@ from .storage import stage_table
 
 
 class Retrieval:
-    """The collection in `sf_dir` and what its stages give."""
+    """The collection in `sf_dir` and what its stages give.
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+    `encode` and `rerank` take the place of the hashed vectors and of the overlap score
+    (see `operators.retrieval.encoder` and `reranker`), `prefix` goes before each text
+    that is encoded as a query, and `first` keeps that many queries, by id. `name` tells
+    stage tables of such settings apart and must differ where they do.
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str, encode: R.Encoder = R.hashed_vectors, rerank: R.Reranker = R.rerank_scores, prefix: str = "", first: int | None = None, name: str = ""):
+        if not name and (encode is not R.hashed_vectors or rerank is not R.rerank_scores or prefix or first is not None):
+            raise ValueError("name the settings")
+        self.spark, self.sf_dir, self.name = spark, sf_dir, name
+        self.encode, self.rerank, self.prefix, self.first = encode, rerank, prefix, first
 
     def _table(self, name: str, build) -> DataFrame:
-        return stage_table(self.spark, self.sf_dir, name, build)
+        return stage_table(self.spark, self.sf_dir, f"{self.name}-{name}" if self.name else name, build)
 
     @property
     def docs(self) -> DataFrame:
@@ -40,11 +49,8 @@ class Retrieval:
 
     @property
     def doc_vectors(self) -> DataFrame:
-        def build():
-            vectors = self._table("counts", lambda: R.hashed_vectors(self.docs, "doc_id", "text"))
-            return vectors.join(R.norms(vectors, "doc_id"), "doc_id")
-
-        return self._table("vectors", build)
+        """doc_id, norm, v."""
+        return self._table("vectors", lambda: self.encode(self.docs, "doc_id", "text").select("doc_id", "norm", "v"))
 
     @property
     def qrels(self) -> DataFrame:
@@ -52,7 +58,11 @@ class Retrieval:
 
     @property
     def queries(self) -> DataFrame:
-        return self._table("queries", lambda: C.queries(self.spark, self.sf_dir, self.vocabulary, self.qrels, self.n_docs))
+        def build():
+            rows = C.queries(self.spark, self.sf_dir, self.vocabulary, self.qrels, self.n_docs)
+            return rows if self.first is None else rows.orderBy("query_id").limit(self.first)
+
+        return self._table("queries", build)
 
     @property
     def first_docs(self) -> DataFrame:
@@ -62,13 +72,13 @@ class Retrieval:
         return R.bm25_scores(texts, self.postings)
 
     def dense(self, texts: DataFrame) -> DataFrame:
-        return R.dense_scores(texts, self.doc_vectors, self.docs)
+        return R.dense_scores(texts, self.doc_vectors, self.encode, self.prefix)
 
     def bm25_top(self, texts: DataFrame, k: int = R.K) -> DataFrame:
         return R.top(self.bm25(texts), "bm25", texts, self.first_docs, k)
 
     def dense_top(self, texts: DataFrame, k: int = R.K) -> DataFrame:
-        return R.top(self.dense(texts), "dense", texts, self.first_docs, k)
+        return R.top(R.dense_scores(texts, self.doc_vectors, self.encode, self.prefix, k), "dense", texts, self.first_docs, k)
 
     def run(self, worlds: DataFrame) -> DataFrame:
         """world_id, doc_id, provenance, ce, n, rank for worlds (world_id, bm25_text, dense_text, rerank_text, first_stage)."""
@@ -76,7 +86,7 @@ class Retrieval:
         dense = worlds.where("first_stage != 'bm25'").select(F.col("dense_text").alias("text")).distinct()
         pool = R.pools(worlds, self.bm25_top(lexical), self.dense_top(dense))
         pairs = pool.join(worlds.select("world_id", F.col("rerank_text").alias("text")), "world_id").select("text", "doc_id").distinct()
-        return R.ranked(worlds, pool, R.rerank_scores(pairs, self.postings, self.docs))
+        return R.ranked(worlds, pool, self.rerank(pairs, self.postings, self.docs))
 
     @staticmethod
     def plain(queries: DataFrame, first_stage: str = "union") -> DataFrame:
@@ -88,8 +98,8 @@ class Retrieval:
         """text, doc_id, bm25, dense for given pairs, in the pool or not; zero where nothing is shared."""
         texts = pairs.select("text").distinct()
         posted = self.postings.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
-        vectors = self.doc_vectors.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
-        found = pairs.join(R.bm25_scores(texts, posted), ["text", "doc_id"], "left").join(R.dense_scores(texts, vectors, self.docs), ["text", "doc_id"], "left")
+        dense = R.pair_dense_scores(pairs.distinct(), self.doc_vectors, self.encode, self.prefix)
+        found = pairs.join(R.bm25_scores(texts, posted), ["text", "doc_id"], "left").join(dense, ["text", "doc_id"], "left")
         return found.select("text", "doc_id", F.coalesce("bm25", F.lit(0.0)).alias("bm25"), F.coalesce("dense", F.lit(0.0)).alias("dense"))
 
     @property
