@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.ranking import rbo
@@ -67,13 +70,20 @@ def sampled(r: Retrieval, n: int = QUERIES, seed: int = SEED) -> DataFrame:
     return r.queries.orderBy(draw(seed, "stability", F.col("query_id")), "query_id").limit(n)
 
 
-def variants(r: Retrieval) -> DataFrame:
+#: Rewrites by name: (queries, the corpus's words) to a table query_id, variant_text.
+Rewrite = Callable[[DataFrame, DataFrame], DataFrame]
+VARIANTS: dict[str, Rewrite] = {
+    "destop": lambda own, words_: own.select("query_id", destopped(F.col("query_text")).alias("variant_text")),
+    "shuffle": lambda own, words_: own.select("query_id", shuffled(F.col("query_text"), F.col("query_id")).alias("variant_text")),
+    "synonym": synonym_variants,
+}
+
+
+def variants(r: Retrieval, rewrites: dict[str, Rewrite] = VARIANTS) -> DataFrame:
     """query_id, query_text, variant, variant_text."""
-    own = sampled(r)
-    made = own.select("query_id", F.lit("destop").alias("variant"), destopped(F.col("query_text")).alias("variant_text")).unionByName(
-        own.select("query_id", F.lit("shuffle").alias("variant"), shuffled(F.col("query_text"), F.col("query_id")).alias("variant_text"))).unionByName(
-        synonym_variants(own, corpus_words(r)).select("query_id", F.lit("synonym").alias("variant"), "variant_text"))
-    return made.join(own, "query_id")
+    own, known = sampled(r), corpus_words(r)
+    made = [rewrite(own, known).select("query_id", F.lit(name).alias("variant"), "variant_text") for name, rewrite in rewrites.items()]
+    return reduce(DataFrame.unionByName, made).join(own, "query_id")
 
 
 def rankings(r: Retrieval, texts: DataFrame, top: int = TOP) -> DataFrame:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+from importlib import resources
+
+import pyspark
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 
@@ -34,6 +39,57 @@ def read_csv(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.csv(path, header=True, schema=schema)
 
 
+def write_json(spark: SparkSession, value: dict, path: str) -> None:
+    """A small value (metrics, timings, run metadata) as one JSON file in the folder `path`."""
+    spark.createDataFrame([(json.dumps(value, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_json(spark: SparkSession, path: str) -> dict | None:
+    """The value behind `write_json`; None if there is none."""
+    if not exists(spark, path):
+        return None
+    row = spark.read.text(path).first()
+    return json.loads(row["value"]) if row else None
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def code_fingerprint() -> str:
+    """The start of a SHA-256 over the sources of the retrieval experiment, names included."""
+    root, whole = resources.files(__package__.split(".")[0]), hashlib.sha256()
+    for part in ("functions", "operators", "plans", "sources"):
+        for file in sorted((f for f in (root / part).iterdir() if f.name.endswith(".py")), key=lambda f: f.name):
+            whole.update(f"{part}/{file.name}\n".encode() + file.read_bytes())
+    return whole.hexdigest()[:16]
+
+
+def run_meta(settings: dict) -> dict:
+    """What a run's artefacts hang on: the caller's settings, the code and Spark's version."""
+    return {"settings": settings, "code": code_fingerprint(), "spark": pyspark.__version__}
+
+
+def stale(spark: SparkSession, path: str, meta: dict) -> list[str]:
+    """The keys in which the metadata written at `path` differs from `meta`; all of them if none was written."""
+    found = read_json(spark, path) or {}
+    meta = json.loads(json.dumps(meta))
+    return sorted(k for k in meta.keys() | found.keys() if k not in found or k not in meta or found[k] != meta[k])
+
+
+def load_artifacts(spark: SparkSession, folder: str, names: tuple[str, ...]) -> dict[str, DataFrame | None]:
+    """Parquet tables below `folder` by name; None for those that aren't there."""
+    paths = {name: f"{folder.rstrip('/')}/{name}" for name in names}
+    return {name: spark.read.parquet(path) if exists(spark, path) else None for name, path in paths.items()}
+
+
+def shard_rows(table: DataFrame, queries: DataFrame, shard: int, shards: int) -> DataFrame:
+    """Rows of `table` (with query_id) whose query is dealt to `shard`."""
+    own = shard_of(queries, shards).where(F.col("shard") == shard).select("query_id")
+    return table.join(own, "query_id", "left_semi")
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """path, bytes and the start of the SHA-256 of every file below `path`."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)

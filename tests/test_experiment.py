@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from stagefork.operators import effects as E, inference as I, interventions as V, mediation as M, retrieval as R, stability as S
+from stagefork.operators import effects as E, inference as I, interventions as V, mediation as M, retrieval as R, stability as S, verdict as D
 from stagefork.plans import oracle, queries
 from stagefork.plans.worlds import Retrieval
 from stagefork.sources import artifacts as A
@@ -130,3 +130,8 @@ def test_stream_of_queries(spark, r, tmp_path):
     serve(r, stream, out, str(tmp_path / "checkpoint")).awaitTermination()
     got = spark.read.parquet(out).select("query_id", "doc_id", "rank")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, r.baseline.select("query_id", "doc_id", "rank").collect()))
+
+
+def test_log_checks(r):
+    found = D.failed_checks(V.intervention_log(r), D.log_checks()).collect()
+    assert {x["check"]: x["n_failed"] for x in found} == dict.fromkeys(D.log_checks(), 0)
