@@ -6,8 +6,7 @@ SQL can express; the operators' other columns are sampled or learnt.
 
 from __future__ import annotations
 
-from . import ann, exact_dedup, line_dedup, lm_score, mixing, pieces, quality, secrets, simhash, url_filter
-
+from . import ann, divergence, exact_dedup, fim, line_dedup, lm_score, mixing, pieces, quality, secrets, simhash, top_products, url_filter
 
 
 def _columns(query, *names: str):
@@ -25,6 +24,9 @@ QUERIES = {
     "op8_lm_score": lm_score.op8_lm_score,
     "op9_mix": mixing.op9_mix,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "op11_top_products": top_products.op11_top_products,
+    "op12_divergence": divergence.op12_divergence,
+    "op13_fill_in_middle": fim.op13_fill_in_middle,
     "url_rules": _columns(url_filter.op4_url_filter, "page_id", "host", "path", "rule"),
     "secret_base": _columns(secrets.op5_secret_scan, "doc_id", "n_assign", "n_access", "n_hex", "base_sha256"),
     "mix_targets": _columns(mixing.op9_mix, "doc_id", "size", "source_size", "target"),
@@ -91,6 +93,9 @@ SELECT doc_id, size, source_size, target FROM d JOIN g ON d.source IS NOT DISTIN
 """
 SQL = {
     "op6_exact_dedup": exact_dedup.OP6_SQL,
+    "op11_top_products": top_products.OP11_SQL,
+    "op12_divergence": divergence.OP12_SQL,
+    "op13_fill_in_middle": fim.OP13_SQL,
     "url_rules": URL_SQL,
     "secret_base": SECRET_SQL,
     "mix_targets": MIX_SQL,
