@@ -30,14 +30,17 @@ GROUP, ROUNDS, ALONG = 4, 8, 4.0
 QUERY_BLOCK, RERANK = 4096, 48
 #: Share of a batch's rows that is reranked at least, so that recall doesn't fall as batches grow.
 RERANKED = 1 / 8
+#: Largest component in codes, as a multiple of the sample's median; rows beyond it are reranked whatever their codes say.
+LIMIT = float(1 << 20)
 
 
 @dataclass
 class Codebooks:
-    """books: groups x 16 x GROUP, over `width` components and one for the norm, padded with zeros."""
+    """books: groups x 16 x GROUP, over `width` components and one for the norm, padded with zeros; `scale` is a power of two."""
 
     books: np.ndarray
     width: int
+    scale: float = 1.0
 
     @property
     def groups(self) -> int:
@@ -49,11 +52,20 @@ class Codebooks:
         out[:, self.width] = last
         return out
 
+    def scaled(self, x: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return np.clip(x * self.scale, -LIMIT, LIMIT)
+
+    def wide(self, x: np.ndarray) -> np.ndarray:
+        """Rows that codes can't tell apart, for their components are cut off."""
+        return np.abs(x).max(axis=1, initial=0.0) > LIMIT / self.scale
+
     def rows(self, x: np.ndarray) -> np.ndarray:
-        return self.padded(x, np.einsum("ij,ij->i", x, x) / 2)
+        y = self.scaled(x)
+        return self.padded(y, np.einsum("ij,ij->i", y, y) / 2)
 
     def queries(self, q: np.ndarray) -> np.ndarray:
-        return self.padded(q, np.full(len(q), -1.0))
+        return self.padded(self.scaled(q), np.full(len(q), -1.0))
 
     def encode(self, x: np.ndarray, rounds: int = 2) -> np.ndarray:
         """Codes of padded rows; groups take turns, each knowing the others' error along the vector."""
@@ -81,8 +93,9 @@ def train(x: np.ndarray, seed: int = 0) -> Codebooks:
     width = x.shape[1]
     groups = -(-(width + 1) // GROUP)
     rng = np.random.default_rng(seed)
-    made = Codebooks(np.zeros((groups, 16, GROUP), np.float32), width)
-    rows = made.rows(x)
+    top = float(np.median(np.abs(x).max(axis=1)))
+    made = Codebooks(np.zeros((groups, 16, GROUP), np.float32), width, 2.0 ** -np.clip(np.frexp(top)[1], -1000, 1000))
+    rows = made.rows(x[~made.wide(x)])
     pick = rng.choice(len(rows), 16, replace=len(rows) < 16)
     made.books = rows[pick].reshape(16, groups, GROUP).transpose(1, 0, 2).copy()
     unit = (rows / np.maximum(np.linalg.norm(rows, axis=1), 1e-12)[:, None]).reshape(len(rows), groups, GROUP)
@@ -101,9 +114,23 @@ def train(x: np.ndarray, seed: int = 0) -> Codebooks:
                 rest = (total - along[:, g])[own] + np.einsum("nd,nd->n", v, u)
                 left = own.sum() * np.eye(GROUP) + (ALONG - 1) * u.T @ u
                 made.books[g, k] = np.linalg.solve(left, v.sum(axis=0) + (ALONG - 1) * (rest[:, None] * u).sum(axis=0))
+    if not np.isfinite(made.books).all():
+        raise ValueError("a codebook isn't finite")
     return made
 
 
+def distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Euclidean distances, squares summed in component order as an exact scan would; where those overflow, of scaled differences."""
+    with np.errstate(over="ignore"):
+        apart = x - q
+        far = np.sqrt(np.add.accumulate(apart**2, axis=1)[:, -1])
+        if (odd := np.flatnonzero(~np.isfinite(far))).size:
+            half = x[odd] / 2 - q / 2
+            top = np.abs(half).max(axis=1, keepdims=True)
+            far[odd] = 2 * (top[:, 0] * np.sqrt(np.add.accumulate((half / top) ** 2, axis=1)[:, -1]))
+    return far
+
+
 def usable(vectors: DataFrame, id_col: str, vector_col: str, width: int) -> DataFrame:
     """vec_id, embedding of rows whose vector has `width` finite components and isn't zero."""
     ok = F.forall(F.col("embedding"), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -156,14 +183,17 @@ def search_block(index: DataFrame, books: Codebooks, ids: np.ndarray, queries: n
             codes = np.empty((packed.shape[1] * 2, len(own)), np.intp)
             codes[::2], codes[1::2] = (packed & 15).T, (packed >> 4).T
             out = ([], [], [])
+            wide = np.flatnonzero(books.wide(x))
+            exact = books.wide(q)
             for i, query_id in enumerate(q_ids.tolist()):
                 approx = luts[i, 0].take(codes[0])
                 for g in range(1, books.groups):
                     approx += luts[i, g].take(codes[g])
-                best = _first(approx, own, max(k * rerank, int(len(own) * RERANKED)))
+                best = np.arange(len(own)) if exact[i] else _first(approx, own, max(k * rerank, int(len(own) * RERANKED)))
+                if len(wide):
+                    best = np.union1d(best, wide)
                 best = best[own[best] != query_id]
-                # Differences are summed in component order, as an exact scan would.
-                far = np.sqrt(np.add.accumulate((x[best] - q[i]) ** 2, axis=1)[:, -1])
+                far = distances(x[best], q[i])
                 best, far = (a[np.lexsort((own[best], far))[:k]] for a in (best, far))
                 out[0].append(np.full(len(best), query_id))
                 out[1].append(own[best])
@@ -176,6 +206,9 @@ def search_block(index: DataFrame, books: Codebooks, ids: np.ndarray, queries: n
 def nearest(vectors: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", rerank: int = RERANK) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id is divisible by `every`, the k nearest found.
 
+    Components more than 2**20 times the sample's median don't fit the codes: such rows
+    are reranked by all queries, and such queries scan all rows. Distances beyond double
+    precision are infinite.
     Null, zero or partly null or non-finite vectors, those with another number of
     components than most have, and rows without an id take no part. Equal distances
     rank by smaller id, repeated vectors included. Rows that repeat an id are

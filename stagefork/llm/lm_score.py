@@ -350,6 +350,16 @@ def whole_words(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str],
         yield piece(pa.Table.from_batches(held))
 
 
+def to_bytes(counts: np.ndarray) -> bytes:
+    """Whole numbers, none negative: a byte for their width, then 32 bits each, or 64 where one needs them."""
+    kind = np.uint32 if counts.max(initial=0) < 1 << 32 else np.uint64
+    return bytes([np.dtype(kind).itemsize]) + counts.astype(kind).tobytes()
+
+
+def from_bytes(x: bytes) -> np.ndarray:
+    return np.frombuffer(x, np.uint32 if x[0] == 4 else np.uint64, offset=1).astype(np.int64)
+
+
 def totals(counts: DataFrame, sliced: dict[bytes, int]) -> Corpus:
     """The corpus's sums and those of each sweep.
 
@@ -371,7 +381,7 @@ def totals(counts: DataFrame, sliced: dict[bytes, int]) -> Corpus:
 
         def of(batches: Iterator[pa.RecordBatch], s=s, shared=shared) -> Iterator[pa.RecordBatch]:
             corpus = shared.value
-            customers, tables = np.zeros(CONTEXTS, np.float32), np.zeros(CONTEXTS, np.float32)
+            customers, tables = np.zeros(CONTEXTS, np.int64), np.zeros(CONTEXTS, np.int64)
             parent, cut = np.zeros(2), np.zeros(len(corpus.sliced))
             any_ = False
             for batch in batches:
@@ -381,32 +391,34 @@ def totals(counts: DataFrame, sliced: dict[bytes, int]) -> Corpus:
                     continue
                 any_, words = True, batch.column(0).to_pylist()
                 t, own, top = sweeps(word, ctx, c, words, corpus, s)[-1]
-                np.add.at(tables, ctx, t.astype(np.float32))
+                np.add.at(tables, ctx, t.astype(np.int64))
                 if s == 0:
-                    np.add.at(customers, ctx, c.astype(np.float32))
+                    np.add.at(customers, ctx, c.astype(np.int64))
                 hot = _places(words, corpus)
                 parent += own[hot < 0].sum(), top[hot < 0].sum()
                 np.add.at(cut, hot[hot >= 0], own[hot >= 0])
             if any_:
-                rows = [(k, (customers if s == 0 else tables[:0])[k::parts].tobytes(), tables[k::parts].tobytes()) for k in range(parts)]
+                rows = [(k, to_bytes((customers if s == 0 else tables[:0])[k::parts]), to_bytes(tables[k::parts])) for k in range(parts)]
                 rows.append((-1, parent.tobytes(), cut.tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["part", "a", "b"])
 
         def summed_up(group: pa.Table) -> pa.Table:
             k = group.column("part")[0].as_py()
-            kind = np.float64 if k < 0 else np.float32
-            a, b = (np.sum([np.frombuffer(x, kind) for x in group.column(c).to_pylist()], axis=0).astype(kind).tobytes() for c in ("a", "b"))
+            if k < 0:
+                a, b = (np.sum([np.frombuffer(x) for x in group.column(c).to_pylist()], axis=0).tobytes() for c in ("a", "b"))
+            else:
+                a, b = (to_bytes(np.sum([from_bytes(x) for x in group.column(c).to_pylist()], axis=0, dtype=np.int64)) for c in ("a", "b"))
             return pa.table({"part": pa.array([k], pa.int32()), "a": pa.array([a], pa.binary()), "b": pa.array([b], pa.binary())})
 
         found = counts.mapInArrow(of, "part int, a binary, b binary").groupBy("part").applyInArrow(summed_up, "part int, a binary, b binary").toArrow()
-        customers, tables, parent, cut = np.zeros(CONTEXTS, np.float32), np.zeros(CONTEXTS, np.float32), np.zeros(2), np.zeros(len(sliced))
+        customers, tables, parent, cut = np.zeros(CONTEXTS), np.zeros(CONTEXTS), np.zeros(2), np.zeros(len(sliced))
         for k, a, b in zip(*(c.to_pylist() for c in found.columns), strict=True):
             if k < 0:
                 parent, cut = np.frombuffer(a, np.float64).copy(), np.frombuffer(b, np.float64).copy()
             else:
-                tables[k::parts] = np.frombuffer(b, np.float32)
+                tables[k::parts] = from_bytes(b)
                 if s == 0:
-                    customers[k::parts] = np.frombuffer(a, np.float32)
+                    customers[k::parts] = from_bytes(a)
         if s == 0:
             corpus.customers = customers
         before = corpus.sweeps[s - 1].sliced_tables if s else np.zeros(len(sliced))

@@ -44,29 +44,25 @@ SELECT page_id, host, path,
 FROM h
 """
 SECRET_SQL = r"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-found AS (
-  SELECT doc_id, text, kind, unnest(CASE kind
-      WHEN 0 THEN regexp_extract_all(text, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+')
-      WHEN 1 THEN regexp_extract_all(text, 'AKIA[A-Z0-9]+') ELSE regexp_extract_all(text, '[0-9a-f]+') END) AS own,
-    generate_subscripts(CASE kind
-      WHEN 0 THEN regexp_extract_all(text, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+')
-      WHEN 1 THEN regexp_extract_all(text, 'AKIA[A-Z0-9]+') ELSE regexp_extract_all(text, '[0-9a-f]+') END, 1) AS nth
-  FROM d, range(3) k(kind)),
+WITH d AS (SELECT doc_id, row_number() OVER () AS nr, coalesce(text, '') AS text FROM documents),
+a AS (
+  SELECT nr, 0 AS kind, regexp_extract_all(text, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+') AS own,
+         [length(p) for p in regexp_split_to_array(text, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+')] AS gaps FROM d),
+b AS (
+  SELECT nr, 1 AS kind, regexp_extract_all(text, 'AKIA[A-Z0-9]{16,}') AS own, [length(p) for p in regexp_split_to_array(text, 'AKIA[A-Z0-9]{16,}')] AS gaps FROM d),
+c AS (
+  SELECT nr, 2 AS kind, regexp_extract_all(text, '[0-9a-f]{24,}') AS own, [length(p) for p in regexp_split_to_array(text, '[0-9a-f]{24,}')] AS gaps FROM d),
 cut AS (
-  SELECT doc_id, kind, nth, own, length(parts[nth]) AS gap, text
-  FROM (SELECT *, CASE kind
-      WHEN 0 THEN regexp_split_to_array(text, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+')
-      WHEN 1 THEN regexp_split_to_array(text, 'AKIA[A-Z0-9]+') ELSE regexp_split_to_array(text, '[0-9a-f]+') END AS parts FROM found)),
+  SELECT nr, kind, unnest(own) AS own, unnest(gaps[1:len(own)]) AS gap, generate_subscripts(own, 1) AS nth
+  FROM (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c) WHERE len(own) > 0),
 placed AS (
-  SELECT doc_id, kind, own, sum(gap + length(own)) OVER (PARTITION BY doc_id, kind ORDER BY nth) AS stop FROM cut),
+  SELECT nr, kind, own, sum(gap + length(own)) OVER (PARTITION BY nr, kind ORDER BY nth) AS stop FROM cut),
 kept AS (
-  SELECT doc_id, kind, stop - length(own) AS start, stop FROM placed WHERE CASE kind
-      WHEN 0 THEN length(regexp_extract(own, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1)) >= 6
-      WHEN 1 THEN length(own) >= 20 ELSE length(own) >= 24 END)
-SELECT d.doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+  SELECT nr, kind, stop - length(own) AS start, stop FROM placed
+  WHERE kind > 0 OR length(regexp_extract(own, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1)) >= 6)
+SELECT any_value(d.doc_id) AS doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
        sha256(coalesce(string_agg(['assign', 'access', 'hex'][kind + 1] || ':' || start::BIGINT || ':' || stop::BIGINT, ',' ORDER BY start, kind), '')) AS base_sha256
-FROM d LEFT JOIN kept k ON d.doc_id = k.doc_id GROUP BY d.doc_id
+FROM d LEFT JOIN kept k ON d.nr = k.nr GROUP BY d.nr
 """
 MIX_SQL = r"""
 WITH RECURSIVE d AS (
