@@ -66,8 +66,13 @@ def terms_of(text: bytes) -> list[bytes]:
     return text.translate(_LOWER).split()
 
 
-def term_counts(docs: DataFrame) -> DataFrame:
-    """lang, source, term, n, docs: occurrences and documents, summed within each task before anything is shuffled."""
+def term_counts(docs: DataFrame, least_docs: int) -> DataFrame:
+    """lang, source, term, n, own, lead of terms in `least_docs` documents of their language: occurrences in the group and in the language.
+
+    Counts are summed within each task before they are dealt out by language and term;
+    group and language are then both summed without another shuffle. `lead` marks one
+    row of each term of a language.
+    """
     given = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,8 +92,11 @@ def term_counts(docs: DataFrame) -> DataFrame:
                 held = 0
         yield from _counted(seen)
 
-    rows = given.mapInArrow(of, "lang string, source string, term string, n long, docs long")
-    return rows.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    rows = given.mapInArrow(of, "lang string, source string, term string, n long, docs long").repartition("lang", "term")
+    counts = rows.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    whole = Window.partitionBy("lang", "term")
+    counts = counts.select("*", F.sum("n").over(whole).alias("own"), F.sum("docs").over(whole).alias("all"), (F.col("source") == F.min("source").over(whole)).alias("lead"))
+    return counts.where(F.col("all") >= least_docs).drop("docs", "all")
 
 
 def _counted(seen) -> Iterator[pa.RecordBatch]:
@@ -173,11 +181,8 @@ def source_divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, ranks: int
     Equal values rank by item in UTF-8. No rows give none; other columns aren't read.
     The result has a row for every ordered pair of sources of a language.
     """
-    counts = saved(term_counts(docs), "divergence-counts", "zstd")
-    kept = counts.groupBy("lang", "term").agg(F.sum("n").alias("own"), F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs).drop("docs")
-    langs = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("own").alias("whole"))
-    inside = counts.join(kept, ["lang", "term"]).select("lang", "source", "term", "n", "own")
-    inside = saved(inside, "divergence-kept", "zstd")
+    inside = saved(term_counts(docs, least_docs), "divergence-terms", "zstd")
+    langs = inside.where("lead").groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("own").alias("whole"))
     sizes = inside.groupBy("lang", "source").agg(F.sum("n").alias("size"))
     named = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source"))).distinct()
     zero = F.lit(0).cast("long")
@@ -217,7 +222,7 @@ def source_divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, ranks: int
     telling = postings.withColumn("q", q).where("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), gap(F.col("p"), F.col("q")).alias("value"))
     telling = telling.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= ranks)
     out = saved(pairs.unionByName(telling), "divergence")
-    for made in (counts, inside, groups, sided):
+    for made in (inside, groups, sided):
         discard(made)
     return out
 
