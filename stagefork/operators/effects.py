@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.text import WORD, draw, jaccard, tokenize
 from ..plans.worlds import Retrieval
+from .quantiles import quantiles
 
 CONCEPTS, BAND, FOLDS, REPS, SEED = 3, (0.05, 0.40), 5, 3, 42
 CONFOUNDERS = ("doc_len", "doc_emb_norm", "lex_overlap", "query_len")
@@ -57,7 +58,8 @@ def naive_ols(panel: DataFrame) -> DataFrame:
 
 def with_cells(panel: DataFrame) -> DataFrame:
     """A cell a row: for each confounder, how many of its quartiles lie below."""
-    cuts = panel.agg(*(F.percentile(c, F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias(f"q_{c}") for c in CONFOUNDERS))
+    long = panel.select(*CONFOUNDERS).unpivot([], list(CONFOUNDERS), "name", "value")
+    cuts = quantiles(long, ["name"], "value", (0.25, 0.5, 0.75)).agg(*(F.max(F.when(F.col("name") == c, F.col("q"))).alias(f"q_{c}") for c in CONFOUNDERS))
     rows = panel.join(F.broadcast(cuts))
     below = lambda c: F.size(F.filter(f"q_{c}", lambda q: q < F.col(c)))
     for c in CONFOUNDERS:

@@ -7,26 +7,38 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.text import CONTENT_STOPWORDS, WORD, draw, index_terms, jaccard, tokenize, uniform
+from ..functions.stem import stem_dimension
+from ..functions.text import INDEX_STOPWORDS, WORD, draw, index_terms, jaccard, tokenize, uniform
 from ..plans.worlds import Retrieval
+from ..sources.store import numbered, scratch
 from .retrieval import K
 
 SEED = 42
 TARGETS, TERMS = 3, 3
 POOL_LEAST, POOL_SHARE = 5, 0.20
+#: Numbers that a target draws for its controls before it chooses from the rest.
+DRAWS = 24
 
 
 def word_vocabulary(r: Retrieval) -> DataFrame:
     """term, df, idf, in_control_pool of words: letters only, three or more, no stop words."""
+    return r._table("words", lambda: _word_vocabulary(r), "inputs")
+
+
+def _word_vocabulary(r: Retrieval) -> DataFrame:
     n = r.n_docs
-    df = r.docs.select(F.explode(F.array_distinct("content_tokens")).alias("term")).where(F.col("term").rlike(WORD)).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = doc_tf(r).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     pool = (F.col("df") >= POOL_LEAST) & (F.col("df") <= POOL_SHARE * n)
     return df.select("term", "df", F.log(F.lit(float(n)) / (1 + F.col("df"))).alias("idf"), pool.alias("in_control_pool"))
 
 
 def doc_tf(r: Retrieval) -> DataFrame:
-    words = r.docs.select("doc_id", F.explode("content_tokens").alias("term")).where(F.col("term").rlike(WORD))
-    return words.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """doc_id, term, tf of words."""
+    def build():
+        words = r.docs.select("doc_id", F.explode("content_tokens").alias("term")).where(F.col("term").rlike(WORD))
+        return words.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+    return r._table("word_tf", build, "inputs")
 
 
 def targets(r: Retrieval, most: int = TARGETS, seed: int = SEED) -> DataFrame:
@@ -39,7 +51,7 @@ def targets(r: Retrieval, most: int = TARGETS, seed: int = SEED) -> DataFrame:
 def treatment_candidates(r: Retrieval, found: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """query_id, doc_id, term, tf, weight, select_prob, n_candidate_terms: words of a target that its query lacks."""
     terms = doc_tf(r).join(found, "doc_id").join(vocabulary.select("term", "idf"), "term")
-    named = found.select("query_id", "doc_id", F.explode(F.array_union(tokenize(F.col("query_text")), index_terms(F.col("query_text")))).alias("term"))
+    named = found.select("query_id", "doc_id", F.explode(F.array_distinct(tokenize(F.col("query_text")))).alias("term"))
     left = terms.join(named, ["query_id", "doc_id", "term"], "left_anti").withColumn("weight", F.greatest(F.lit(0.0), F.col("tf") * F.col("idf")))
     own = Window.partitionBy("query_id", "doc_id")
     left = left.withColumn("weight", F.when(F.sum("weight").over(own) > 0, F.col("weight")).otherwise(1.0))
@@ -54,18 +66,62 @@ def treatment_terms(candidates: DataFrame, n: int = TERMS, seed: int = SEED) ->
     return candidates.where("weight > 0").withColumn("n", F.row_number().over(order)).where(F.col("n") <= n).drop("n")
 
 
-def control_admissible(r: Retrieval, found: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """query_id, doc_id, term: pool words that neither query nor document has, in either view of terms."""
-    pool = vocabulary.where("in_control_pool").select("term")
-    taken = found.join(r.docs.select("doc_id", "tokens", "text"), "doc_id").select(
-        "query_id", "doc_id", F.explode(F.array_union("tokens", F.array_union(tokenize(F.col("query_text")), index_terms(F.col("query_text"))))).alias("term"))
-    # Targets are a few a query; each of them has the whole pool to draw from.
-    return found.select("query_id", "doc_id").join(pool).join(taken, ["query_id", "doc_id", "term"], "left_anti")
+def _taken(r: Retrieval, found: DataFrame) -> DataFrame:
+    """query_id, doc_id, view, form: what a target's document and query have, as words and, with stems, as stems."""
+    words = found.join(r.docs.select("doc_id", "tokens"), "doc_id").select("query_id", "doc_id", F.explode(F.array_union("tokens", tokenize(F.col("query_text")))).alias("form"))
+    own = words.withColumn("view", F.lit("word"))
+    if not r.stem:
+        return own
+    stems = stem_dimension(words.where(~F.col("form").isin(*INDEX_STOPWORDS)), "form")
+    return own.unionByName(words.join(stems, "form").select("query_id", "doc_id", F.col("stem").alias("form"), F.lit("stem").alias("view")).distinct())
+
+
+def control_pool(r: Retrieval, vocabulary: DataFrame) -> DataFrame:
+    """term, form, number: the pool's words, numbered from 0 in order; form is the stem with stems, else the word."""
+    def build():
+        pool = vocabulary.where("in_control_pool").select("term")
+        return numbered(stem_dimension(pool).withColumnRenamed("stem", "form") if r.stem else pool.withColumn("form", F.col("term")), "term")
+
+    return r._table("control_pool", build, "stem")
 
 
-def control_terms(admissible: DataFrame, n: int = TERMS, seed: int = SEED) -> DataFrame:
-    order = Window.partitionBy("query_id", "doc_id").orderBy(draw(seed, "control", F.col("query_id"), F.col("doc_id"), F.col("term")), "term")
-    return admissible.withColumn("n", F.row_number().over(order)).where(F.col("n") <= n).drop("n")
+def _barred(r: Retrieval, found: DataFrame, pool: DataFrame) -> DataFrame:
+    """query_id, doc_id, term: pool words that a target's document or query has, in either view of terms."""
+    view = lambda name, c: pool.select("term", F.lit(name).alias("view"), F.col(c).alias("form"))
+    forms = view("word", "term").unionByName(view("stem", "form"))
+    return _taken(r, found).join(forms, ["view", "form"]).select("query_id", "doc_id", "term").distinct()
+
+
+def control_admissible(r: Retrieval, found: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """query_id, doc_id, n_admissible: how many pool words neither query nor document has, by what they do have."""
+    pool = control_pool(r, vocabulary)
+    size = pool.agg(F.count(F.lit(1)).alias("pool"))
+    barred = _barred(r, found, pool).groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("barred"))
+    rows = found.select("query_id", "doc_id").join(barred, ["query_id", "doc_id"], "left").join(F.broadcast(size))
+    return rows.select("query_id", "doc_id", (F.col("pool") - F.coalesce("barred", F.lit(0))).alias("n_admissible")).where("n_admissible > 0")
+
+
+def control_terms(r: Retrieval, found: DataFrame, vocabulary: DataFrame, n: int = TERMS, seed: int = SEED, draws: int = DRAWS) -> DataFrame:
+    """query_id, doc_id, term: up to n admissible pool words a target, drawn by number and drawn anew where rejected.
+
+    Each target draws `draws` numbers, so the pool isn't held against every target. Only
+    targets whose draws run out choose from all that is left of the pool, by a hash.
+    """
+    pool, key = control_pool(r, vocabulary), ["query_id", "doc_id"]
+    barred, targets_ = _barred(r, found, pool), found.select(*key)
+    size = pool.agg(F.count(F.lit(1)).alias("pool"))
+    tries = targets_.join(F.broadcast(size)).where("pool > 0").select(*key, "pool", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("try"))
+    tries = tries.select(*key, "try", (draw(seed, "control", F.col("query_id"), F.col("doc_id"), F.col("try")) % F.col("pool")).alias("number"))
+    first = tries.groupBy(*key, "number").agg(F.min("try").alias("at")).join(pool.select("number", "term"), "number").join(barred, [*key, "term"], "left_anti")
+    order = Window.partitionBy(*key)
+    chosen = first.select(*key, "term", F.row_number().over(order.orderBy("at")).alias("n")).where(F.col("n") <= n)
+    chosen = scratch(chosen, "control-draws")
+    short = targets_.join(chosen.groupBy(*key).agg(F.count(F.lit(1)).alias("has")), key, "left").select(*key, F.coalesce("has", F.lit(0)).alias("has")).where(F.col("has") < n)
+    numbers = short.join(F.broadcast(size)).where("pool > 0").select(*key, "has", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pool") - 1)).alias("number"))
+    left = numbers.join(pool.select("number", "term"), "number").join(barred, [*key, "term"], "left_anti").join(chosen.select(*key, "term"), [*key, "term"], "left_anti")
+    by_hash = order.orderBy(draw(seed, "control", F.col("query_id"), F.col("doc_id"), F.col("term")), "term")
+    rest = left.withColumn("n", F.col("has") + F.row_number().over(by_hash)).where(F.col("n") <= n)
+    return chosen.select(*key, "term").unionByName(rest.select(*key, "term"))
 
 
 def injected(r: Retrieval) -> DataFrame:
@@ -75,7 +131,7 @@ def injected(r: Retrieval) -> DataFrame:
         treated = treatment_terms(treatment_candidates(r, found, words)).select(
             "query_id", "doc_id", "term", F.lit("treatment").alias("arm"), F.lit("target_document").alias("term_source"), "select_prob", "n_candidate_terms", F.col("weight").alias("term_tfidf_weight"))
         pool = words.agg(F.count_if("in_control_pool").alias("pool"))
-        control = control_terms(control_admissible(r, found, words)).join(F.broadcast(pool)).select(
+        control = control_terms(r, found, words).join(F.broadcast(pool)).select(
             "query_id", "doc_id", "term", F.lit("control").alias("arm"), F.lit("control_pool").alias("term_source"), (1 / F.col("pool")).alias("select_prob"), F.col("pool").alias("n_candidate_terms"), F.lit(0.0).alias("term_tfidf_weight"))
         both = treated.unionByName(control).join(found, ["query_id", "doc_id"])
         return both.withColumn("injected_query", F.concat_ws(" ", "query_text", "term"))
@@ -87,12 +143,13 @@ def term_provenance(r: Retrieval) -> DataFrame:
     """The audit columns of every injected term."""
     n = r.n_docs
     rows = injected(r).join(word_vocabulary(r), "term").join(doc_tf(r), ["doc_id", "term"], "left").join(r.docs.select("doc_id", "title"), "doc_id")
-    forms = index_terms(F.col("term"))
+    rows = rows.join(stem_dimension(rows), "term") if r.stem else rows.withColumn("stem", F.col("term"))
+    form = F.when(F.size(index_terms(F.col("term"))) > 0, F.col("stem")).otherwise("<stopword/dropped>")
     return rows.select(
         "query_id", "doc_id", "term", "arm", F.lit("append_term").alias("operator"), "term_source", F.coalesce("tf", F.lit(0)).alias("term_tf_in_doc"),
         F.col("df").alias("term_df_corpus"), F.round(100.0 * F.col("df") / n, 6).alias("term_doc_freq_pct"), F.round("idf", 9).alias("term_idf"),
         F.array_contains(tokenize(F.col("title")), F.col("term")).alias("term_in_title"),
-        F.when(F.size(forms) > 0, F.array_join(F.array_sort(forms), " ")).otherwise("<stopword/dropped>").alias("term_bm25_form"),
+        form.alias("term_bm25_form"),
         F.lit("end").alias("injection_position"), F.round("select_prob", 9).alias("select_prob"), "n_candidate_terms", "term_tfidf_weight")
 
 
@@ -125,17 +182,17 @@ def intervention_log(r: Retrieval) -> DataFrame:
     return r._table("interventions", build)
 
 
-def origin_documents(r: Retrieval) -> DataFrame:
-    ids = intervention_log(r).select("doc_id").distinct()
+def origin_documents(r: Retrieval, log: DataFrame) -> DataFrame:
+    """doc_id, title, text_snippet and lengths of the documents that the log's terms came from or aimed at."""
+    ids = log.select("doc_id").distinct()
     return r.docs.join(ids, "doc_id", "left_semi").select(
         "doc_id", "title", F.substring("text", 1, 400).alias("text_snippet"), F.length("text").alias("text_chars"),
         F.col("doc_len").cast("int").alias("doc_len_tokens"), F.size("content_tokens").alias("n_content_tokens"))
 
 
-def design_checks(r: Retrieval) -> DataFrame:
-    log = intervention_log(r)
+def design_checks(log: DataFrame) -> DataFrame:
     return log.agg(F.max(F.when(F.col("arm") == "control", F.abs("delta_bm25"))).alias("max_abs_delta_bm25_control"), F.round(F.avg(F.col("base_censored").cast("int")), 9).alias("censored_share"))
 
 
-def run_counts(r: Retrieval) -> DataFrame:
-    return intervention_log(r).agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("query_id").alias("n_queries"), F.countDistinct("query_id", "doc_id").alias("n_pairs"))
+def run_counts(log: DataFrame) -> DataFrame:
+    return log.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("query_id").alias("n_queries"), F.countDistinct("query_id", "doc_id").alias("n_pairs"))

@@ -6,6 +6,7 @@ worlds use it.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.ranking import gain
-from ..functions.text import INDEX_STOPWORDS, bigrams, index_terms, tokenize, without
+from ..functions.stem import stem_dimension
+from ..functions.text import INDEX_STOPWORDS, bigrams, index_terms, tokenize
 
 K = 20
 K1, B = 1.5, 0.75
@@ -28,13 +30,24 @@ Encoder = Callable[[DataFrame, str, str], DataFrame]
 Reranker = Callable[[DataFrame, DataFrame, DataFrame], DataFrame]
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """term, doc_id, tf, df, idf, contrib: each posting's part of a BM25 score.
+def index_tokens(docs: DataFrame) -> DataFrame:
+    """doc_id, doc_len, term for every token that the index takes; stop words go after the explode, where the test is compiled."""
+    return docs.select("doc_id", "doc_len", F.explode("tokens").alias("term")).where(~F.col("term").isin(*INDEX_STOPWORDS))
+
+
+def term_stems(docs: DataFrame) -> DataFrame:
+    """term, stem: each distinct term of the index is stemmed once."""
+    return stem_dimension(index_tokens(docs))
+
+
+def postings(docs: DataFrame, stems: DataFrame | None = None) -> DataFrame:
+    """term, doc_id, tf, df, idf, contrib: each posting's part of a BM25 score; terms are stems where `stems` (term, stem) is given.
 
     Contributions are decimals, so that their sums don't hang on the order of rows.
     """
-    rows = docs.select("doc_id", "doc_len", F.explode(without(F.col("tokens"), INDEX_STOPWORDS)).alias("term")).groupBy("term", "doc_id").agg(
-        F.count(F.lit(1)).alias("tf"), F.first("doc_len").alias("dl"))
+    rows = index_tokens(docs).groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.first("doc_len").alias("dl"))
+    if stems is not None:
+        rows = rows.join(stems, "term").groupBy(F.col("stem").alias("term"), "doc_id").agg(F.sum("tf").alias("tf"), F.first("dl").alias("dl"))
     df = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     whole = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("doc_len").alias("avgdl"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -46,14 +59,15 @@ def vocabulary(posted: DataFrame) -> DataFrame:
     return posted.groupBy("term").agg(F.first("df").alias("df"), F.first("idf").alias("idf"))
 
 
-def query_terms(texts: DataFrame) -> DataFrame:
+def query_terms(texts: DataFrame, stem: bool = False) -> DataFrame:
     """text, term: repeated terms stay."""
-    return texts.select("text", F.explode(index_terms(F.col("text"))).alias("term"))
+    rows = texts.select("text", F.explode(index_terms(F.col("text"))).alias("term"))
+    return rows.join(stem_dimension(rows), "term").select("text", F.col("stem").alias("term")) if stem else rows
 
 
-def bm25_scores(texts: DataFrame, posted: DataFrame) -> DataFrame:
+def bm25_scores(texts: DataFrame, posted: DataFrame, stem: bool = False) -> DataFrame:
     """text, doc_id, bm25 of documents that share a term with the text."""
-    sums = query_terms(texts).join(posted.select("term", "doc_id", "contrib"), "term").groupBy("text", "doc_id").agg(F.sum("contrib").alias("s"))
+    sums = query_terms(texts, stem).join(posted.select("term", "doc_id", "contrib"), "term").groupBy("text", "doc_id").agg(F.sum("contrib").alias("s"))
     return sums.select("text", "doc_id", F.round(F.col("s").cast("double"), 9).alias("bm25"))
 
 
@@ -63,14 +77,26 @@ def features(text: Column) -> Column:
 
 
 def hashed_vectors(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """key, norm, v: signed counts of hashed tokens and neighbouring pairs; a text without any has no row."""
-    named = rows.select(key, F.explode(features(F.col(text))).alias("feature")).groupBy(key, "feature").agg(F.count(F.lit(1)).alias("n"))
-    h = F.conv(F.substring(F.md5(F.col("feature").cast("binary")), 1, 8), 16, 10).cast("long")
-    signed = named.select(key, (h % BUCKETS).cast("int").alias("bucket"), (F.col("n") * (1 - 2 * (F.floor(h / BUCKETS) % 2))).alias("n"))
-    counts = signed.groupBy(key, "bucket").agg(F.sum("n").alias("v")).where("v != 0")
-    one = counts.groupBy(key).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"), F.map_from_entries(F.collect_list(F.struct("bucket", "v"))).alias("at"))
-    v = F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda i: F.coalesce(F.try_element_at(F.col("at"), i), F.lit(0)).cast("double"))
-    return one.select(key, "norm", v.alias("v"))
+    """key, norm, v: signed counts of hashed tokens and neighbouring pairs; a text without any has no row.
+
+    A row in gives a row out, so nothing is shuffled: each batch's distinct features are
+    hashed once, and their signs are summed by row and bucket. Keys don't repeat.
+    """
+    named = rows.select(F.col(key), features(F.col(text)).alias("_features"))
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            coded = lists.flatten().dictionary_encode()
+            h = np.array([int(hashlib.md5(f.encode("utf-8", "surrogatepass")).hexdigest()[:8], 16) for f in coded.dictionary.to_pylist()], np.int64)
+            codes, sizes = coded.indices.to_numpy().astype(np.int64), np.diff(lists.offsets.to_numpy())
+            place = np.repeat(np.arange(len(sizes)), sizes) * BUCKETS + (h % BUCKETS)[codes]
+            v = np.bincount(place, (1 - 2 * (h // BUCKETS % 2))[codes], len(sizes) * BUCKETS).reshape(-1, BUCKETS) if len(codes) else np.zeros((len(sizes), BUCKETS))
+            has = np.flatnonzero(v.any(axis=1))
+            ends = pa.array(np.arange(0, len(has) * BUCKETS + 1, BUCKETS), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(has)), pa.array(np.sqrt((v[has] ** 2).sum(axis=1))), pa.ListArray.from_arrays(ends, pa.array(v[has].ravel()))], names=[key, "norm", "v"])
+
+    return named.mapInArrow(of, f"`{key}` {named.schema[key].dataType.simpleString()}, norm double, v array<double>")
 
 
 def _packed(vectors: DataFrame, key: str) -> DataFrame:
@@ -172,14 +198,19 @@ def reranker(function: Callable[[list[tuple[str, str]]], list[float]], batch: in
 def top(scores: DataFrame, score: str, texts: DataFrame, first_docs: DataFrame, k: int = K) -> DataFrame:
     """text, doc_id, score, rk: k documents for every text, ties to smaller ids.
 
-    Documents without a score count as zero. Only the first 2k documents can fill such
-    places, since a text that needs them scores fewer than k others.
+    Documents without a score count as zero, and texts with fewer than k documents above
+    that are filled from the first 2k documents: a text that needs them has fewer than k
+    others. Scores are cut to k a text before the few fillers meet them.
     """
-    fill = texts.select("text").crossJoin(F.broadcast(first_docs.select("doc_id"))).withColumn(score, F.lit(0.0))
-    rows = scores.select("text", "doc_id", score).withColumn("scored", F.lit(True)).unionByName(fill.withColumn("scored", F.lit(False)))
-    found = rows.groupBy("text", "doc_id").agg(F.coalesce(F.max(F.when(F.col("scored"), F.col(score))), F.lit(0.0)).alias(score))
     order = Window.partitionBy("text").orderBy(F.desc(score), "doc_id")
-    return found.withColumn("rk", F.row_number().over(order)).where(F.col("rk") <= k)
+    best = scores.select("text", "doc_id", score).withColumn("rk", F.row_number().over(order)).where(F.col("rk") <= k)
+    full = best.where((F.col("rk") == k) & (F.col(score) > 0)).select("text")
+    open_ = texts.select("text").distinct().join(full, "text", "left_anti")
+    filled = open_.crossJoin(F.broadcast(first_docs.select("doc_id"))).withColumn(score, F.lit(0.0))
+    few = scores.join(open_, "text", "left_semi").select("text", "doc_id", score)
+    filled = filled.join(few.select("text", "doc_id"), ["text", "doc_id"], "left_anti").unionByName(few)
+    filled = filled.withColumn("rk", F.row_number().over(order)).where(F.col("rk") <= k)
+    return best.join(full, "text", "left_semi").unionByName(filled)
 
 
 def pools(worlds: DataFrame, bm25_top: DataFrame, dense_top: DataFrame) -> DataFrame:
@@ -191,9 +222,9 @@ def pools(worlds: DataFrame, bm25_top: DataFrame, dense_top: DataFrame) -> DataF
     return found.select("world_id", "doc_id", name.alias("provenance"))
 
 
-def rerank_scores(pairs: DataFrame, posted: DataFrame, docs: DataFrame) -> DataFrame:
+def rerank_scores(pairs: DataFrame, posted: DataFrame, docs: DataFrame, stem: bool = False) -> DataFrame:
     """text, doc_id, ce for distinct pairs: matched terms by idf, matched bigrams, less length."""
-    terms = pairs.select("text").distinct().select("text", F.explode(F.array_distinct(index_terms(F.col("text")))).alias("term"))
+    terms = query_terms(pairs.select("text").distinct(), stem).distinct()
     cover = pairs.join(terms, "text").join(posted.select("term", "doc_id", "idf"), ["term", "doc_id"]).groupBy("text", "doc_id").agg(F.sum(F.col("idf").cast(EXACT)).alias("cover"))
     own = docs.select("doc_id", "doc_len", "tokens").join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
     near = F.size(F.array_intersect(bigrams(tokenize(F.col("text"))), bigrams(F.col("tokens"))))

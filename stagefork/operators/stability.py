@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.ranking import rbo
 from ..functions.text import CONTENT_STOPWORDS, draw
 from ..plans.worlds import Retrieval
+from .quantiles import quantiles
 
 QUERIES, TOP, DEGENERATE, SEED = 50, 10, 0.80, 42
 #: Synonyms by lower-cased word; a parameter, whose default suits no language in particular.
@@ -125,5 +126,11 @@ def stability_summary(raw: DataFrame) -> DataFrame:
 
 
 def rbo_box_stats(raw: DataFrame) -> DataFrame:
-    q = lambda p: F.round(F.percentile("rbo", F.lit(p)), 9)
-    return raw.groupBy("variant", "config").agg(q(0.0).alias("lowest"), q(0.25).alias("q1"), q(0.5).alias("median"), q(0.75).alias("q3"), q(1.0).alias("highest"))
+    found = quantiles(raw, ["variant", "config"], "rbo", (0.0, 0.25, 0.5, 0.75, 1.0))
+    return found.select("variant", "config", *(F.round(F.col("q")[i], 9).alias(name) for i, name in enumerate(("lowest", "q1", "median", "q3", "highest"))))
+
+
+def least_stable(raw: DataFrame) -> DataFrame:
+    """query_id, variant, config, rbo of the ranking that a rewrite changed most; ties to the first by variant, config and id."""
+    key = F.struct("rbo", "variant", "config", "query_id")
+    return raw.agg(F.min(key).alias("x")).where("x is not null").select("x.query_id", "x.variant", "x.config", "x.rbo")

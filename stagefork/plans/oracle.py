@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from ..functions.stem import AFTER_PLURAL, DOUBLE, PREFIXES, SHORT, STEP_2, STEP_3, STEP_4, WHOLE
 from ..functions.text import CONTENT_STOPWORDS, INDEX_STOPWORDS
 from ..operators.stability import SYNONYMS
 
@@ -72,6 +73,37 @@ def _run(name: str, worlds: str) -> dict[str, str]:
     }
 
 
+def _map(table: dict[str, str]) -> str:
+    return "MAP {" + ", ".join(f"'{a}': '{b}'" for a, b in table.items()) + "}"
+
+
+def _stems(words: str) -> str:
+    """term, stem for a step with a column `term`."""
+    behind = "CASE WHEN regexp_matches({x}, '[aeiouy][^aeiouy]') THEN length(regexp_extract({x}, '^[^aeiouy]*[aeiouy]+[^aeiouy]')) ELSE length({x}) END"
+    ending = lambda names: f"regexp_extract(w, '({'|'.join(sorted(names, key=len, reverse=True))})$', 1)"
+    step = lambda source, w: f"SELECT term, {w} AS w, r1, r2, stop FROM {source}"
+    cut, prefix = "left(w, length(w) - length(e))", f"'^({'|'.join(PREFIXES)})'"
+    past = f"""CASE WHEN stop OR e = '' THEN w WHEN e LIKE 'eed%' THEN CASE WHEN length(c) >= r1 THEN c || 'ee' ELSE w END WHEN NOT regexp_matches(c, '[aeiouy]') THEN w
+        WHEN regexp_matches(c, '(at|bl|iz)$') THEN c || 'e' WHEN regexp_matches(c, '{DOUBLE}') THEN left(c, length(c) - 1) WHEN regexp_matches(c, '{SHORT}') AND r1 >= length(c) THEN c || 'e' ELSE c END"""
+    second = f"""CASE WHEN NOT stop AND e <> '' AND length(w) - length(e) >= r1 AND (e <> 'ogi' OR w LIKE '%logi') AND (e <> 'li' OR regexp_matches(w, '[cdeghkmnrt]li$')) THEN {cut} || {_map(STEP_2)}[e] ELSE w END"""
+    third = f"CASE WHEN NOT stop AND e <> '' AND length(w) - length(e) >= r1 AND (e <> 'ative' OR length(w) - 5 >= r2) THEN {cut} || {_map(STEP_3)}[e] ELSE w END"
+    fourth = f"CASE WHEN NOT stop AND e <> '' AND length(w) - length(e) >= r2 AND (e <> 'ion' OR regexp_matches(w, '[st]ion$')) THEN {cut} ELSE w END"
+    return f"""WITH p0 AS (SELECT term, regexp_replace(regexp_replace(term, '^y', 'Y'), '([aeiouy])y', '\\1Y', 'g') AS w FROM (SELECT DISTINCT term FROM {words})),
+        p1 AS (SELECT *, CASE WHEN regexp_matches(w, {prefix}) THEN length(regexp_extract(w, {prefix})) ELSE {behind.format(x='w')} END AS r1 FROM p0),
+        p2 AS (SELECT *, r1 + {behind.format(x='w[r1 + 1:]')} AS r2 FROM p1),
+        p3 AS (SELECT term, r1, r2, CASE WHEN w LIKE '%sses' THEN left(w, length(w) - 2) WHEN regexp_matches(w, '(ied|ies)$') THEN left(w, length(w) - CASE WHEN length(w) > 4 THEN 2 ELSE 1 END)
+               WHEN regexp_matches(w, '(us|ss)$') THEN w WHEN regexp_matches(w, '[aeiouy].+s$') THEN left(w, length(w) - 1) ELSE w END AS w FROM p2),
+        p4 AS (SELECT *, list_contains({_list(AFTER_PLURAL)}, w) AS stop, {ending(('eedly', 'ingly', 'edly', 'eed', 'ing', 'ed'))} AS e FROM p3),
+        p5 AS (SELECT *, {cut} AS c FROM p4), p6 AS ({step('p5', past)}),
+        p7 AS ({step('p6', "CASE WHEN NOT stop AND regexp_matches(w, '^.+[^aeiouy][yY]$') THEN left(w, length(w) - 1) || 'i' ELSE w END")}),
+        p8 AS (SELECT *, {ending(STEP_2)} AS e FROM p7), p9 AS ({step('p8', second)}),
+        p10 AS (SELECT *, {ending(STEP_3)} AS e FROM p9), p11 AS ({step('p10', third)}),
+        p12 AS (SELECT *, {ending(STEP_4)} AS e FROM p11), p13 AS ({step('p12', fourth)}),
+        p14 AS (SELECT term, CASE WHEN stop THEN w WHEN w LIKE '%e' AND (length(w) - 1 >= r2 OR length(w) - 1 >= r1 AND NOT regexp_matches(left(w, length(w) - 1), '{SHORT}')) OR w LIKE '%ll' AND length(w) - 1 >= r2
+               THEN left(w, length(w) - 1) ELSE w END AS w FROM p13)
+        SELECT term, CASE WHEN length(term) <= 2 THEN term ELSE coalesce({_map(WHOLE)}[term], translate(w, 'Y', 'y')) END AS stem FROM p14"""
+
+
 def _flip(w: str) -> str:
     return f"""CASE WHEN {w} LIKE '%s' THEN CASE WHEN {w} LIKE '%ies' THEN left({w}, length({w}) - 3) || 'y' WHEN {w} LIKE '%ses' THEN left({w}, length({w}) - 2) ELSE left({w}, length({w}) - 1) END
         WHEN regexp_matches({w}, '(s|x|z|ch|sh)$') THEN {w} || 'es' WHEN regexp_matches({w}, '[^aeiou]y$') THEN left({w}, length({w}) - 1) || 'ies' ELSE {w} || 's' END"""
@@ -143,7 +175,24 @@ STEPS: dict[str, str] = {
             ORDER BY round(-ln(({_draw("'42'", "'treatment'", 'query_id', 'doc_id', 'term')} + 0.5) / 4294967296.0) / weight, 9), term) AS k FROM cand WHERE weight > 0) WHERE k <= 3""",
     "admit": f"""SELECT a.query_id, a.doc_id, w.term FROM aims a JOIN corpus d USING (doc_id) CROSS JOIN (SELECT term FROM words WHERE in_pool) w
         WHERE NOT list_contains(d.tokens, w.term) AND NOT list_contains({_tokens('a.query_text')}, w.term)""",
-    "controlled": f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY {_draw("'42'", "'control'", 'query_id', 'doc_id', 'term')}, term) AS k FROM admit) WHERE k <= 3""",
+    "pool_n": "SELECT term, row_number() OVER (ORDER BY term) - 1 AS number FROM words WHERE in_pool",
+    "drawn_c": f"""SELECT query_id, doc_id, term FROM (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY place) AS k FROM (
+            SELECT query_id, doc_id, number, min(j) AS place FROM (SELECT a.query_id, a.doc_id, t.j, {_draw("'42'", "'control'", 'a.query_id', 'a.doc_id', 't.j')} % (SELECT count(*) FROM pool_n) AS number
+                FROM aims a CROSS JOIN (SELECT unnest(range(24)) AS j) t) GROUP BY ALL) JOIN pool_n USING (number) JOIN admit USING (query_id, doc_id, term)) WHERE k <= 3""",
+    "controlled": f"""SELECT query_id, doc_id, term FROM drawn_c UNION ALL SELECT query_id, doc_id, term FROM (
+            SELECT m.*, coalesce(h.has, 0) + row_number() OVER (PARTITION BY m.query_id, m.doc_id ORDER BY {_draw("'42'", "'control'", 'm.query_id', 'm.doc_id', 'm.term')}, m.term) AS k
+            FROM (SELECT query_id, doc_id, term FROM admit EXCEPT SELECT query_id, doc_id, term FROM drawn_c) m
+            LEFT JOIN (SELECT query_id, doc_id, count(*) AS has FROM drawn_c GROUP BY ALL) h ON h.query_id = m.query_id AND h.doc_id = m.doc_id) WHERE k <= 3""",
+    "index_words": f"SELECT unnest({_terms('text')}) AS term FROM corpus",
+    "stems": _stems("index_words"),
+    "posts_s": f"""SELECT term, doc_id, tf, df, idf, CAST(idf * tf / (tf + 1.5 * (1 - 0.75 + 0.75 * doc_len / avgdl)) AS DECIMAL(38, 12)) AS contrib
+        FROM (SELECT *, ln(1 + (n_docs - df + 0.5) / (df + 0.5)) AS idf
+              FROM (SELECT *, count(*) OVER (PARTITION BY term) AS df FROM (SELECT doc_id, doc_len, stem AS term, count(*) AS tf FROM (SELECT doc_id, doc_len, unnest({_terms('text')}) AS term FROM corpus) JOIN stems USING (term) GROUP BY ALL))
+              CROSS JOIN (SELECT count(*) AS n_docs, avg(doc_len) AS avgdl FROM corpus))""",
+    "scores_s": f"""SELECT query_id, doc_id, round(CAST(sum(contrib) AS DOUBLE), 9) AS bm25 FROM (SELECT query_id, stem AS term FROM (SELECT query_id, unnest({_terms('query_text')}) AS term FROM asked) JOIN stems USING (term))
+        JOIN posts_s USING (term) GROUP BY ALL""",
+    "barred_s": f"""SELECT DISTINCT t.query_id, t.doc_id, w.term FROM (SELECT a.query_id, a.doc_id, unnest(list_distinct(list_concat(d.tokens, {_tokens('a.query_text')}))) AS own FROM aims a JOIN corpus d USING (doc_id)) t
+        LEFT JOIN stems s ON s.term = t.own JOIN (SELECT term, stem FROM pool_n JOIN stems USING (term)) w ON w.term = t.own OR w.stem = s.stem""",
     "inject": """SELECT i.*, a.query_text, a.query_text || ' ' || i.term AS injected_query FROM (
             SELECT query_id, doc_id, term, 'treatment' AS arm, 'target_document' AS term_source, select_prob, n_candidate_terms, weight AS term_tfidf_weight FROM treated
             UNION ALL SELECT query_id, doc_id, term, 'control', 'control_pool', 1.0 / p.n, p.n, 0.0 FROM controlled CROSS JOIN (SELECT count(*) AS n FROM words WHERE in_pool) p) i
@@ -308,7 +357,18 @@ FINAL: dict[str, str] = {
     "dml_compare": "SELECT * FROM compare",
     "criteria": "SELECT * FROM crit",
     "verdict": "SELECT *, CASE WHEN n_pass = 3 THEN 'yes' WHEN n_pass <= 1 AND n_inconclusive = 0 THEN 'no' ELSE 'mixed' END AS verdict FROM (SELECT count(*) FILTER (WHERE status = 'PASS') AS n_pass, count(*) FILTER (WHERE status = 'INCONCLUSIVE') AS n_inconclusive FROM crit)",
-    "shard_merge": "SELECT query_id, CAST((row_number() OVER (ORDER BY query_id) - 1) % 4 AS INT) AS shard FROM asked",
+    "shard_merge": "SELECT b.query_id, b.doc_id, b.rank, s.shard FROM base b JOIN (SELECT query_id, CAST((row_number() OVER (ORDER BY query_id) - 1) % 4 AS INT) AS shard FROM asked) s USING (query_id)",
+    "shard_of": "SELECT query_id, CAST((row_number() OVER (ORDER BY query_id) - 1) % 4 AS INT) AS shard FROM asked",
+    "term_stems": "SELECT * FROM stems",
+    "bm25_terms_stemmed": "SELECT stem, count(*) AS n FROM index_words JOIN stems USING (term) GROUP BY stem",
+    "postings_stemmed": "SELECT term, doc_id, tf, df, round(idf, 9) AS idf, round(CAST(contrib AS DOUBLE), 6) AS contrib FROM posts_s",
+    "bm25_topk_stemmed": """SELECT query_id, doc_id, bm25, rk FROM (SELECT query_id, doc_id, coalesce(s.bm25, 0.0) AS bm25, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(s.bm25, 0.0) DESC, doc_id) AS rk
+        FROM (SELECT query_id, doc_id FROM asked CROSS JOIN corpus) LEFT JOIN scores_s s USING (query_id, doc_id)) WHERE rk <= 20""",
+    "control_admissible_stemmed": """SELECT a.query_id, a.doc_id, (SELECT count(*) FROM pool_n) - coalesce(b.n, 0) AS n_admissible FROM aims a
+        LEFT JOIN (SELECT query_id, doc_id, count(*) AS n FROM barred_s GROUP BY ALL) b ON b.query_id = a.query_id AND b.doc_id = a.doc_id WHERE (SELECT count(*) FROM pool_n) > coalesce(b.n, 0)""",
+    "qrels_fold": "SELECT conv_id AS query_id, role AS doc_id, CAST(arg_max(length(text), turn) AS INT) AS rel FROM conversations WHERE text IS NOT NULL GROUP BY ALL",
+    "extremes": """SELECT r.*, s.path, s.shift_pp FROM (SELECT query_id, variant, config, rbo FROM raw ORDER BY rbo, variant, config, query_id LIMIT 1) r
+        CROSS JOIN (SELECT path, shift_pp FROM shifts ORDER BY shift_pp DESC, path DESC LIMIT 1) s""",
 }
 
 

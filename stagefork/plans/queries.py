@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import index_terms, jaccard, tokenize
 from ..operators import effects as E, inference as I, interventions as V, mediation as M, retrieval as R, stability as S, verdict as D
-from ..sources.artifacts import shard_of
+from ..sources import artifacts as A, collection as C
+from ..sources.store import file_system, shared_dir
 from .worlds import Retrieval
 
 
@@ -47,7 +50,41 @@ def _select_prob(r: Retrieval) -> DataFrame:
 
 
 def _admissible(r: Retrieval) -> DataFrame:
-    return V.control_admissible(r, V.targets(r), V.word_vocabulary(r)).groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("n_admissible"))
+    return V.control_admissible(r, V.targets(r), V.word_vocabulary(r))
+
+
+def _stemmed(r: Retrieval) -> Retrieval:
+    return Retrieval(r.spark, r.sf_dir, stem=True)
+
+
+def _admissible_stemmed(r: Retrieval) -> DataFrame:
+    """Admissible control words of the plain run's targets, where inflections of a text's words are barred, too."""
+    return V.control_admissible(_stemmed(r), V.targets(r), V.word_vocabulary(r))
+
+
+def _bm25_terms_stemmed(r: Retrieval) -> DataFrame:
+    return _bm25_terms(r).join(r.stems, "term").groupBy("stem").agg(F.sum("n").alias("n"))
+
+
+def _given_judgements(r: Retrieval) -> DataFrame:
+    """Each role of a conversation judged by the length of its turns, of which the last holds."""
+    turns = C.read(r.spark, r.sf_dir, "conversations").select(F.col("conv_id").alias("query_id"), F.col("role").alias("doc_id"), F.length("text").alias("rel"), F.col("turn").alias("place"))
+    return C.fold_judgements(turns)
+
+
+def _extremes(r: Retrieval) -> DataFrame:
+    """The least stable ranking and the path whose share shifts most, in one row."""
+    shift = M.mediation_shift(_ratio(r)).agg(F.max(F.struct("shift_pp", "path")).alias("x")).select(F.col("x.path").alias("path"), F.col("x.shift_pp").alias("shift_pp"))
+    return S.least_stable(S.stability_raw(r)).join(shift)
+
+
+def _merged(r: Retrieval, shards: int = 4) -> DataFrame:
+    """The baseline written shard by shard, checked for missing ones and merged."""
+    path = f"{shared_dir(r.spark)}/shards-{uuid.uuid4().hex}"
+    fs, where = file_system(r.spark, path)
+    fs.deleteOnExit(where)
+    A.write_shards(r.baseline.select("query_id", "doc_id", "rank"), r.queries, path, shards)
+    return A.merge_shards(r.spark, path, shards, r.queries, keep=True)
 
 
 def _control_terms(r: Retrieval) -> DataFrame:
@@ -74,13 +111,17 @@ def _panel_compare(r: Retrieval) -> DataFrame:
 
 def _criteria(r: Retrieval) -> DataFrame:
     ratio = _ratio(r)
-    return D.criteria(I.bootstrap_diff_ci(r.spark, V.intervention_log(r)), ratio, M.mediation_shift(ratio), _panel_compare(r))
+    return D.criteria(I.bootstrap_diff_ci(V.intervention_log(r)), ratio, M.mediation_shift(ratio), _panel_compare(r))
 
 
 def _bm25_terms(r: Retrieval) -> DataFrame:
     return r.docs.select("doc_id", F.explode(index_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _postings(r: Retrieval) -> DataFrame:
+    return r.postings.select("term", "doc_id", "tf", "df", F.round("idf", 9).alias("idf"), F.round(F.col("contrib").cast("double"), 6).alias("contrib"))
+
+
 BUILDERS = {
     "corpus_scan": lambda r: r.docs.select("doc_id", "title", F.length("text").alias("n_chars"), F.length("ce_text").alias("ce_chars"), "doc_len"),
     "tokenize": lambda r: r.docs.select("doc_id", F.size("tokens").alias("n_tokens"), F.size(F.array_distinct("tokens")).alias("n_distinct")),
@@ -88,7 +129,7 @@ BUILDERS = {
     "bm25_terms": _bm25_terms,
     "vocab_df": lambda r: r.docs.select(F.explode(F.array_distinct("content_tokens")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")),
     "doc_tf": V.doc_tf,
-    "postings": lambda r: r.postings.select("term", "doc_id", "tf", "df", F.round("idf", 9).alias("idf"), F.round(F.col("contrib").cast("double"), 6).alias("contrib")),
+    "postings": lambda r: _postings(r),
     "qrels": lambda r: r.qrels,
     "query_texts": lambda r: r.queries,
     "bm25_scores": lambda r: _named(r, r.bm25(_texts(r))).where("bm25 > 0"),
@@ -115,13 +156,13 @@ BUILDERS = {
     "injected_queries": lambda r: V.injected(r).select("query_id", "doc_id", "term", "arm", "injected_query"),
     "term_provenance": V.term_provenance,
     "intervention_log": V.intervention_log,
-    "origin_documents": V.origin_documents,
-    "design_checks": V.design_checks,
-    "run_counts": V.run_counts,
+    "origin_documents": lambda r: V.origin_documents(r, V.intervention_log(r)),
+    "design_checks": lambda r: V.design_checks(V.intervention_log(r)),
+    "run_counts": lambda r: V.run_counts(V.intervention_log(r)),
     "arm_means": lambda r: I.arm_means(V.intervention_log(r)),
     "cluster_stats": lambda r: I.cluster_sums(V.intervention_log(r)),
-    "bootstrap_ci": lambda r: I.bootstrap_ci(r.spark, V.intervention_log(r)),
-    "bootstrap_diff_ci": lambda r: I.bootstrap_diff_ci(r.spark, V.intervention_log(r)),
+    "bootstrap_ci": lambda r: I.bootstrap_ci(V.intervention_log(r)),
+    "bootstrap_diff_ci": lambda r: I.bootstrap_diff_ci(V.intervention_log(r)),
     "contrast_uncensored": lambda r: I.contrast_uncensored(V.intervention_log(r)),
     "delta_rank_hist": lambda r: I.delta_rank_hist(V.intervention_log(r)),
     "mediation_paths": M.mediation_paths,
@@ -144,7 +185,15 @@ BUILDERS = {
     "dml_compare": _panel_compare,
     "criteria": _criteria,
     "verdict": lambda r: D.verdict(_criteria(r)),
-    "shard_merge": lambda r: shard_of(r.queries, 4),
+    "shard_merge": _merged,
+    "shard_of": lambda r: A.shard_of(r.queries, 4),
+    "term_stems": lambda r: r.stems,
+    "bm25_terms_stemmed": _bm25_terms_stemmed,
+    "postings_stemmed": lambda r: _postings(_stemmed(r)),
+    "bm25_topk_stemmed": lambda r: _named(r, _stemmed(r).bm25_top(_texts(r))),
+    "control_admissible_stemmed": _admissible_stemmed,
+    "qrels_fold": _given_judgements,
+    "extremes": _extremes,
 }
 
 

@@ -1,16 +1,21 @@
 """Worlds as rows: a run is a table of worlds, and freezing a stage is a choice of text.
 
-A world names the text that each stage sees. Stage tables are made once for a session
-and a folder of tables; worlds of a run share the scores of their distinct texts.
+A world names the text that each stage sees. Stage tables are made once for their inputs
+and settings; worlds of a run share the scores of their distinct texts.
 """
 
 from __future__ import annotations
 
+from functools import cached_property, partial
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import retrieval as R
 from ..sources import collection as C
-from .storage import stage_table
+from ..sources.artifacts import shard_of
+from ..sources.store import Increments, data_fingerprint, stage_table
+
+INPUTS = ("documents", "benchmark", "labels")
 
 
 class Retrieval:
@@ -19,57 +24,85 @@ class Retrieval:
     `encode` and `rerank` take the place of the hashed vectors and of the overlap score
     (see `operators.retrieval.encoder` and `reranker`), `prefix` goes before each text
     that is encoded as a query, and `first` keeps that many queries, by id. `name` tells
-    stage tables of such settings apart and must differ where they do.
+    stage tables of such settings apart and must differ where they do. With `stem`, the
+    lexical channel, and what hangs on its terms, works on stems. `shard` (i, n) keeps
+    every n-th query from the i-th on.
     """
 
-    def __init__(self, spark: SparkSession, sf_dir: str, encode: R.Encoder = R.hashed_vectors, rerank: R.Reranker = R.rerank_scores, prefix: str = "", first: int | None = None, name: str = ""):
-        if not name and (encode is not R.hashed_vectors or rerank is not R.rerank_scores or prefix or first is not None):
+    def __init__(self, spark: SparkSession, sf_dir: str, encode: R.Encoder = R.hashed_vectors, rerank: R.Reranker | None = None, prefix: str = "", first: int | None = None, name: str = "",
+                 stem: bool = False, shard: tuple[int, int] | None = None):
+        if not name and (encode is not R.hashed_vectors or rerank is not None or prefix or first is not None):
             raise ValueError("name the settings")
         self.spark, self.sf_dir, self.name = spark, sf_dir, name
-        self.encode, self.rerank, self.prefix, self.first = encode, rerank, prefix, first
+        self.encode, self.rerank, self.prefix, self.first = encode, rerank or partial(R.rerank_scores, stem=stem), prefix, first
+        self.stem, self.shard = stem, shard
 
-    def _table(self, name: str, build) -> DataFrame:
-        return stage_table(self.spark, self.sf_dir, f"{self.name}-{name}" if self.name else name, build)
+    @cached_property
+    def data(self) -> str:
+        """Fingerprint of the input files, as they are when this is first asked for."""
+        return data_fingerprint(self.spark, [f"{self.sf_dir}/{t}.parquet" for t in INPUTS])
 
     @property
-    def docs(self) -> DataFrame:
-        return self._table("docs", lambda: C.corpus(self.spark, self.sf_dir))
+    def settings(self) -> dict:
+        return {"name": self.name, "prefix": self.prefix, "first": self.first, "stem": self.stem, "shard": self.shard}
+
+    def _table(self, name: str, build, *hangs_on: str, buckets: tuple[str, int] | None = None) -> DataFrame:
+        """A stage table; `hangs_on` names the settings that it hangs on, by default all."""
+        settings = {k: self.settings[k] for k in hangs_on or self.settings} if hangs_on != ("inputs",) else {}
+        return stage_table(self.spark, name, self.data, build, settings, buckets)
 
     @property
+    def docs(self) -> DataFrame:
+        tokens = self._table("tokens", lambda: C.tokenised(self.spark, self.sf_dir), "inputs")
+        return self._table("docs", lambda: C.corpus(tokens), "inputs")
+
+    @cached_property
     def n_docs(self) -> int:
         return self.docs.count()
 
+    @property
+    def stems(self) -> DataFrame:
+        """term, stem of all terms of the index."""
+        return self._table("stems", lambda: R.term_stems(self.docs), "inputs")
+
     @property
     def postings(self) -> DataFrame:
-        return self._table("postings", lambda: R.postings(self.docs))
+        """Bucketed by term, so that scoring doesn't shuffle them."""
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        return self._table("postings", lambda: R.postings(self.docs, self.stems if self.stem else None), "stem", buckets=("term", n))
 
     @property
     def vocabulary(self) -> DataFrame:
-        return self._table("vocabulary", lambda: R.vocabulary(self.postings))
+        return self._table("vocabulary", lambda: R.vocabulary(self.postings), "stem")
 
     @property
     def doc_vectors(self) -> DataFrame:
         """doc_id, norm, v."""
-        return self._table("vectors", lambda: self.encode(self.docs, "doc_id", "text").select("doc_id", "norm", "v"))
+        return self._table("vectors", lambda: self.encode(self.docs, "doc_id", "text").select("doc_id", "norm", "v"), "name")
 
     @property
     def qrels(self) -> DataFrame:
-        return self._table("qrels", lambda: C.judgements(self.spark, self.sf_dir))
+        return self._table("qrels", lambda: C.judgements(self.spark, self.sf_dir), "inputs")
 
     @property
     def queries(self) -> DataFrame:
         def build():
-            rows = C.queries(self.spark, self.sf_dir, self.vocabulary, self.qrels, self.n_docs)
-            return rows if self.first is None else rows.orderBy("query_id").limit(self.first)
+            plain = self if not self.stem else Retrieval(self.spark, self.sf_dir)
+            rows = C.queries(self.spark, self.sf_dir, plain.vocabulary, self.qrels, self.n_docs)
+            rows = rows if self.first is None else rows.orderBy("query_id").limit(self.first)
+            if self.shard is None:
+                return rows
+            own, of = self.shard
+            return rows.join(shard_of(rows, of).where(F.col("shard") == own), "query_id", "left_semi")
 
-        return self._table("queries", build)
+        return self._table("queries", build, "first", "shard")
 
     @property
     def first_docs(self) -> DataFrame:
-        return self._table("first_docs", lambda: self.docs.select("doc_id").orderBy("doc_id").limit(2 * R.K))
+        return self._table("first_docs", lambda: self.docs.select("doc_id").orderBy("doc_id").limit(2 * R.K), "inputs")
 
     def bm25(self, texts: DataFrame) -> DataFrame:
-        return R.bm25_scores(texts, self.postings)
+        return R.bm25_scores(texts, self.postings, self.stem)
 
     def dense(self, texts: DataFrame) -> DataFrame:
         return R.dense_scores(texts, self.doc_vectors, self.encode, self.prefix)
@@ -99,16 +132,32 @@ class Retrieval:
         texts = pairs.select("text").distinct()
         posted = self.postings.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
         dense = R.pair_dense_scores(pairs.distinct(), self.doc_vectors, self.encode, self.prefix)
-        found = pairs.join(R.bm25_scores(texts, posted), ["text", "doc_id"], "left").join(dense, ["text", "doc_id"], "left")
+        found = pairs.join(R.bm25_scores(texts, posted, self.stem), ["text", "doc_id"], "left").join(dense, ["text", "doc_id"], "left")
         return found.select("text", "doc_id", F.coalesce("bm25", F.lit(0.0)).alias("bm25"), F.coalesce("dense", F.lit(0.0)).alias("dense"))
 
+    def _factual(self, queries: DataFrame) -> DataFrame:
+        run = self.run(self.plain(queries)).withColumnRenamed("world_id", "query_id").join(queries, "query_id")
+        scores = self.pair_scores(run.select(F.col("query_text").alias("text"), "doc_id")).withColumnRenamed("text", "query_text")
+        return run.join(scores, ["query_text", "doc_id"]).select("query_id", "query_text", "doc_id", "provenance", "bm25", "dense", "ce", "n", "rank")
+
+    def baseline_of(self, queries: DataFrame) -> DataFrame:
+        """query_id, query_text, doc_id, provenance, bm25, dense, ce, rank of `queries` (query_id, query_text).
+
+        Rows that an earlier call or session stored are read; only queries that lack, or
+        whose text has changed, are run and added.
+        """
+        kept = Increments(self.spark, "baseline", self.data, {k: self.settings[k] for k in ("name", "prefix", "stem")})
+        wanted, key = queries.select("query_id", "query_text"), ["query_id", "query_text"]
+        stored = kept.read()
+        lacking = wanted if stored is None else wanted.join(stored.select(*key).distinct(), key, "left_anti")
+        if not lacking.isEmpty():
+            kept.add(self._factual(lacking))
+            stored = kept.read()
+        found = stored.join(wanted.distinct(), key, "left_semi")
+        # Two sessions may have added the same queries at the same time.
+        return found.dropDuplicates([*key, "doc_id"]) if len(kept.parts()) > 1 else found
+
     @property
     def baseline(self) -> DataFrame:
-        """query_id, query_text, doc_id, provenance, bm25, dense, ce, rank."""
-        def build():
-            q = self.queries
-            run = self.run(self.plain(q)).withColumnRenamed("world_id", "query_id").join(q, "query_id")
-            scores = self.pair_scores(run.select(F.col("query_text").alias("text"), "doc_id")).withColumnRenamed("text", "query_text")
-            return run.join(scores, ["query_text", "doc_id"]).select("query_id", "query_text", "doc_id", "provenance", "bm25", "dense", "ce", "n", "rank")
-
-        return self._table("baseline", build)
+        """The baseline of all queries."""
+        return self.baseline_of(self.queries)

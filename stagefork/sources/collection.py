@@ -9,30 +9,70 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..functions.text import INDEX_STOPWORDS, content_tokens, index_terms, tokenize, without
+from ..functions.text import INDEX_STOPWORDS, tokenize, without
 
 #: Share of documents that a query term is in; terms of a query.
 BAND, TERMS = (0.05, 0.40), 4
+#: Words of an item by whose hash documents are found.
+KEY_WORDS = 4
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def corpus(spark: SparkSession, sf_dir: str, ce_words: int = 460) -> DataFrame:
-    """doc_id, title, text, ce_text, tokens, content_tokens, doc_len."""
+def tokenised(spark: SparkSession, sf_dir: str, ce_words: int = 460) -> DataFrame:
+    """doc_id, title, text, ce_text, tokens: the table in which each text is tokenised once."""
     text = F.coalesce("text", F.lit(""))
     docs = read(spark, sf_dir, "documents").select("doc_id", F.split_part(text, F.lit("\n"), F.lit(1)).alias("title"), text.alias("text"))
     words = F.array_join(F.slice(F.split(F.trim("text"), r"\s+"), 1, ce_words), " ")
-    return docs.select("doc_id", "title", "text", words.alias("ce_text"), tokenize(F.col("text")).alias("tokens"),
-                       content_tokens(F.col("text")).alias("content_tokens"), F.size(index_terms(F.col("text"))).cast("double").alias("doc_len"))
+    return docs.select("doc_id", "title", "text", words.alias("ce_text"), tokenize(F.col("text")).alias("tokens"))
+
+
+def corpus(tokens: DataFrame) -> DataFrame:
+    """doc_id, title, text, ce_text, tokens, content_tokens, doc_len from `tokenised`."""
+    indexed = F.size(without(F.col("tokens"), INDEX_STOPWORDS)).cast("double")
+    return tokens.select("*", without(F.col("tokens")).alias("content_tokens"), indexed.alias("doc_len"))
+
+
+def fold_judgements(rows: DataFrame, order: str = "place") -> DataFrame:
+    """query_id, doc_id, rel of given judgements: of those that repeat a pair, the last by `order` holds; a null relevance is no judgement."""
+    return rows.where(F.col("rel").isNotNull()).groupBy("query_id", "doc_id").agg(F.max_by(F.col("rel").cast("int"), order).alias("rel"))
+
+
+def holding(docs: DataFrame, items: DataFrame, key_words: int = KEY_WORDS) -> DataFrame:
+    """query_id, doc_id of documents (doc_id, text) that hold a whole item (query_id, item), wherever it begins.
+
+    An item's words but for the first and last must stand in the document as they are,
+    so the hash of its first such words is looked up among the document's windows of as
+    many words, and a match is verified by the texts. An item without inner words is
+    looked up among the document's parts of its own length. Null texts hold nothing, an
+    empty item is held by all others.
+    """
+    inner = lambda c: F.slice(c, 2, F.greatest(F.size(c) - 2, F.lit(0)))
+    keyed = items.where("item is not null").select("query_id", "item", inner(F.split("item", r"\s+")).alias("words"))
+    keyed = keyed.select("query_id", "item", F.least(F.size("words"), F.lit(key_words)).alias("k"), "words")
+    long = keyed.where("k > 0").select("query_id", "item", "k", F.xxhash64("k", F.slice("words", 1, F.col("k"))).alias("key"))
+    short = keyed.where("k = 0").select("query_id", "item", F.length("item").alias("size"))
+    texts = docs.where("text is not null").select("doc_id", "text")
+    # A handful of numbers: the lengths of keys and of short items that occur.
+    ks = long.agg(F.collect_set("k").alias("ks"))
+    sizes = short.agg(F.collect_set("size").alias("sizes"))
+    windows = texts.select("doc_id", F.split("text", r"\s+").alias("words")).join(F.broadcast(ks)).select("doc_id", "words", F.explode("ks").alias("k")).where(F.size("words") >= F.col("k"))
+    places = F.sequence(F.lit(1), F.size("words") - F.col("k") + 1)
+    hashed = windows.select("doc_id", F.explode(F.array_distinct(F.transform(places, lambda i: F.xxhash64(F.col("k"), F.slice("words", i, F.col("k")))))).alias("key"))
+    near = hashed.join(long.select("query_id", "key"), "key").select("query_id", "doc_id").distinct()
+    by_words = near.join(long.select("query_id", "item"), "query_id").join(texts, "doc_id").where(F.contains("text", "item"))
+    cut = texts.join(F.broadcast(sizes)).select("doc_id", "text", F.explode("sizes").alias("size")).where(F.length("text") >= F.col("size"))
+    parts = cut.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.length("text") - F.col("size") + 1), lambda i: F.substring(F.col("text"), i, F.col("size")))).alias("item"))
+    by_length = parts.join(short.select("query_id", "item"), "item")
+    return by_words.select("query_id", "doc_id").unionByName(by_length.select("query_id", "doc_id")).distinct()
 
 
 def judgements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """query_id, doc_id, rel; items are few, so every document is held against each of them."""
+    """query_id, doc_id, rel: a document that holds an item is relevant to it, more so if labelled good."""
     items = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("item"))
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    found = docs.join(F.broadcast(items), F.contains(F.col("text"), F.col("item"))).select("query_id", "doc_id").distinct()
+    found = holding(read(spark, sf_dir, "documents"), items)
     marks = read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     return found.join(marks, "doc_id", "left").select("query_id", "doc_id", (1 + F.coalesce("quality", F.lit(0))).cast("int").alias("rel"))
 

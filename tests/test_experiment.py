@@ -13,7 +13,7 @@ from stagefork.sources import artifacts as A
 from stagefork.streaming.live import serve
 
 DATA = "/root/testdata/sf0.001"
-TABLES = ("documents", "benchmark", "labels")
+TABLES = ("documents", "benchmark", "labels", "conversations")
 
 
 @pytest.fixture(scope="module")
@@ -87,11 +87,11 @@ def log(spark, rows):
 
 
 def test_bootstrap_edges(spark):
-    one = I.bootstrap_ci(spark, log(spark, [(1, "treatment", 4, False), (1, "treatment", 2, False)]), n=50).where("arm = 'treatment'").first()
+    one = I.bootstrap_ci(log(spark, [(1, "treatment", 4, False), (1, "treatment", 2, False)]), n=50).where("arm = 'treatment'").first()
     assert (one.point, one.lo, one.hi) == (3.0, 3.0, 3.0)
-    both = I.bootstrap_diff_ci(spark, log(spark, [(1, "treatment", 5, False), (1, "control", 1, False), (2, "treatment", 9, False)]), n=50).first()
+    both = I.bootstrap_diff_ci(log(spark, [(1, "treatment", 5, False), (1, "control", 1, False), (2, "treatment", 9, False)]), n=50).first()
     assert (both.point, both.n_clusters) == (4.0, 1)
-    none = I.bootstrap_diff_ci(spark, log(spark, []), n=5).first()
+    none = I.bootstrap_diff_ci(log(spark, []), n=5).first()
     assert none.point is None and none.n_clusters == 0
 
 
