@@ -195,22 +195,19 @@ def reranker(function: Callable[[list[tuple[str, str]]], list[float]], batch: in
     return score
 
 
-def top(scores: DataFrame, score: str, texts: DataFrame, first_docs: DataFrame, k: int = K) -> DataFrame:
+def top(scores: DataFrame, score: str, texts: DataFrame, first_scores: DataFrame, first_docs: DataFrame, k: int = K) -> DataFrame:
     """text, doc_id, score, rk: k documents for every text, ties to smaller ids.
 
-    Documents without a score count as zero, and texts with fewer than k documents above
-    that are filled from the first 2k documents: a text that needs them has fewer than k
-    others. Scores are cut to k a text before the few fillers meet them.
+    Documents without a score count as zero. Only the first 2k documents can fill such
+    places, since a text that needs them scores fewer than k others; `first_scores` are
+    the scores of these alone. Scores are cut to k a text before the fillers meet them.
     """
     order = Window.partitionBy("text").orderBy(F.desc(score), "doc_id")
-    best = scores.select("text", "doc_id", score).withColumn("rk", F.row_number().over(order)).where(F.col("rk") <= k)
-    full = best.where((F.col("rk") == k) & (F.col(score) > 0)).select("text")
-    open_ = texts.select("text").distinct().join(full, "text", "left_anti")
-    filled = open_.crossJoin(F.broadcast(first_docs.select("doc_id"))).withColumn(score, F.lit(0.0))
-    few = scores.join(open_, "text", "left_semi").select("text", "doc_id", score)
-    filled = filled.join(few.select("text", "doc_id"), ["text", "doc_id"], "left_anti").unionByName(few)
-    filled = filled.withColumn("rk", F.row_number().over(order)).where(F.col("rk") <= k)
-    return best.join(full, "text", "left_semi").unionByName(filled)
+    best = scores.select("text", "doc_id", score).withColumn("rk", F.row_number().over(order)).where(F.col("rk") <= k).drop("rk")
+    pairs = texts.select("text").distinct().crossJoin(F.broadcast(first_docs.select("doc_id")))
+    fill = pairs.join(first_scores.select("text", "doc_id", score), ["text", "doc_id"], "left").select("text", "doc_id", F.coalesce(score, F.lit(0.0)).alias(score))
+    both = best.unionByName(fill).groupBy("text", "doc_id").agg(F.max(score).alias(score))
+    return both.withColumn("rk", F.row_number().over(order)).where(F.col("rk") <= k)
 
 
 def pools(worlds: DataFrame, bm25_top: DataFrame, dense_top: DataFrame) -> DataFrame:

@@ -99,7 +99,7 @@ def rankings(r: Retrieval, texts: DataFrame, top: int = TOP) -> DataFrame:
 def stability_raw(r: Retrieval) -> DataFrame:
     """A row for each query, variant and configuration with the overlap of both rankings."""
     def build():
-        rows = variants(r)
+        rows = r._table("variants", lambda: variants(r))
         found = r._table("rankings", lambda: rankings(r, rows.select(F.col("query_text").alias("text")).unionByName(rows.select(F.col("variant_text").alias("text")))))
         before, after = found.select(F.col("text").alias("query_text"), "config", F.col("docs").alias("a")), found.select(F.col("text").alias("variant_text"), "config", F.col("docs").alias("b"))
         both = rows.join(before, "query_text").join(after, ["variant_text", "config"])

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..operators import retrieval as R
 from ..sources import collection as C
 from ..sources.artifacts import shard_of
-from ..sources.store import Increments, data_fingerprint, stage_table
+from ..sources.store import Increments, data_fingerprint, scratch, stage_table
 
 INPUTS = ("documents", "benchmark", "labels")
 
@@ -108,16 +108,20 @@ class Retrieval:
         return R.dense_scores(texts, self.doc_vectors, self.encode, self.prefix)
 
     def bm25_top(self, texts: DataFrame, k: int = R.K) -> DataFrame:
-        return R.top(self.bm25(texts), "bm25", texts, self.first_docs, k)
+        first = self.postings.join(F.broadcast(self.first_docs), "doc_id", "left_semi")
+        return R.top(self.bm25(texts), "bm25", texts, R.bm25_scores(texts, first, self.stem), self.first_docs, k)
 
     def dense_top(self, texts: DataFrame, k: int = R.K) -> DataFrame:
-        return R.top(R.dense_scores(texts, self.doc_vectors, self.encode, self.prefix, k), "dense", texts, self.first_docs, k)
+        first = self.doc_vectors.join(F.broadcast(self.first_docs), "doc_id", "left_semi")
+        scores = lambda vectors, most: R.dense_scores(texts, vectors, self.encode, self.prefix, most)
+        return R.top(scores(self.doc_vectors, k), "dense", texts, scores(first, None), self.first_docs, k)
 
     def run(self, worlds: DataFrame) -> DataFrame:
         """world_id, doc_id, provenance, ce, n, rank for worlds (world_id, bm25_text, dense_text, rerank_text, first_stage)."""
         lexical = worlds.where("first_stage != 'dense'").select(F.col("bm25_text").alias("text")).distinct()
         dense = worlds.where("first_stage != 'bm25'").select(F.col("dense_text").alias("text")).distinct()
-        pool = R.pools(worlds, self.bm25_top(lexical), self.dense_top(dense))
+        # Written, since reranking asks for the pool's pairs several times and each time would score anew.
+        pool = scratch(R.pools(worlds, self.bm25_top(lexical), self.dense_top(dense)), "pool")
         pairs = pool.join(worlds.select("world_id", F.col("rerank_text").alias("text")), "world_id").select("text", "doc_id").distinct()
         return R.ranked(worlds, pool, self.rerank(pairs, self.postings, self.docs))
 
@@ -136,7 +140,7 @@ class Retrieval:
         return found.select("text", "doc_id", F.coalesce("bm25", F.lit(0.0)).alias("bm25"), F.coalesce("dense", F.lit(0.0)).alias("dense"))
 
     def _factual(self, queries: DataFrame) -> DataFrame:
-        run = self.run(self.plain(queries)).withColumnRenamed("world_id", "query_id").join(queries, "query_id")
+        run = scratch(self.run(self.plain(queries)), "run").withColumnRenamed("world_id", "query_id").join(queries, "query_id")
         scores = self.pair_scores(run.select(F.col("query_text").alias("text"), "doc_id")).withColumnRenamed("text", "query_text")
         return run.join(scores, ["query_text", "doc_id"]).select("query_id", "query_text", "doc_id", "provenance", "bm25", "dense", "ce", "n", "rank")
 

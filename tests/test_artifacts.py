@@ -72,7 +72,7 @@ def test_dense_packs_equal_plain_loops(spark, k, monkeypatch):
         assert {(r["text"], r["doc_id"]): r["dense"] for r in R.pair_dense_scores(pairs, docs, encode, "ask ").collect()} == pytest.approx(cosine, abs=2e-9)
     else:
         best = {t: sorted(range(50), key=lambda i: (-cosine[t, i], i))[:k] for t in table}
-        rows = R.top(got, "dense", texts, first, k).collect()
+        rows = R.top(got, "dense", texts, R.dense_scores(texts, docs.join(first, "doc_id", "left_semi"), encode, "ask "), first, k).collect()
         assert {t: [r["doc_id"] for r in sorted(rows, key=lambda r: r["rk"]) if r["text"] == t] for t in table} == best
 
 

@@ -79,7 +79,8 @@ def test_partitions_do_not_matter(spark, r):
     for n in (1, 3, 8):
         posted = r.postings.repartition(n)
         texts = r.queries.select(F.col("query_text").alias("text")).repartition(n)
-        assert sorted(map(tuple, R.top(R.bm25_scores(texts, posted), "bm25", texts, r.first_docs).collect())) == want
+        scores = R.bm25_scores(texts, posted)
+        assert sorted(map(tuple, R.top(scores, "bm25", texts, scores, r.first_docs).collect())) == want
 
 
 def log(spark, rows):
