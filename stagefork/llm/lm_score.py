@@ -360,6 +360,11 @@ def from_bytes(x: bytes) -> np.ndarray:
     return np.frombuffer(x, np.uint32 if x[0] == 4 else np.uint64, offset=1).astype(np.int64)
 
 
+def compact(counts: np.ndarray) -> np.ndarray:
+    """Whole numbers, none negative, in the narrowest type that holds them: all tasks are sent these."""
+    return counts.astype(np.min_scalar_type(int(counts.max(initial=0))))
+
+
 def totals(counts: DataFrame, sliced: dict[bytes, int]) -> Corpus:
     """The corpus's sums and those of each sweep.
 
@@ -411,7 +416,7 @@ def totals(counts: DataFrame, sliced: dict[bytes, int]) -> Corpus:
             return pa.table({"part": pa.array([k], pa.int32()), "a": pa.array([a], pa.binary()), "b": pa.array([b], pa.binary())})
 
         found = counts.mapInArrow(of, "part int, a binary, b binary").groupBy("part").applyInArrow(summed_up, "part int, a binary, b binary").toArrow()
-        customers, tables, parent, cut = np.zeros(CONTEXTS), np.zeros(CONTEXTS), np.zeros(2), np.zeros(len(sliced))
+        customers, tables, parent, cut = np.zeros(CONTEXTS, np.int64), np.zeros(CONTEXTS, np.int64), np.zeros(2), np.zeros(len(sliced))
         for k, a, b in zip(*(c.to_pylist() for c in found.columns), strict=True):
             if k < 0:
                 parent, cut = np.frombuffer(a, np.float64).copy(), np.frombuffer(b, np.float64).copy()
@@ -420,10 +425,10 @@ def totals(counts: DataFrame, sliced: dict[bytes, int]) -> Corpus:
                 if s == 0:
                     customers[k::parts] = from_bytes(a)
         if s == 0:
-            corpus.customers = customers
+            corpus.customers = compact(customers)
         before = corpus.sweeps[s - 1].sliced_tables if s else np.zeros(len(sliced))
         top = parent_tables(cut, before, _hashes(names), corpus, s)
-        corpus.sweeps.append(Totals(tables, parent[0] + cut.sum(), parent[1] + top.sum(), cut, top))
+        corpus.sweeps.append(Totals(compact(tables), parent[0] + cut.sum(), parent[1] + top.sum(), cut, top))
     return corpus
 
 
