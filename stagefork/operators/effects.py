@@ -83,6 +83,11 @@ def dml_plr(panel: DataFrame, folds: int = FOLDS, reps: int = REPS, by_query: bo
     mean = lambda c: F.when(F.col("c_n") > 0, F.col(f"c_{c}").cast("double") / F.col("c_n")).otherwise(F.col(f"a_{c}").cast("double") / F.nullif(F.col("a_n"), F.lit(0)))
     fits = sums.select("concept", "rep", "cell", "fold", mean("y").alias("l"), mean("d").alias("m"))
     res = rows.join(fits, ["concept", "rep", "cell", "fold"]).select("concept", "rep", (F.col("ce_score") - F.col("l")).alias("u"), (d - F.col("m")).alias("v"))
+    return estimates(res)
+
+
+def estimates(res: DataFrame) -> DataFrame:
+    """concept, dml_coef, dml_se, ends from residuals u of the score and v of the treatment: the median over repetitions."""
     theta = res.groupBy("concept", "rep").agg((F.sum((F.col("v") * F.col("u")).cast(EXACT)).cast("double") / F.nullif(F.sum((F.col("v") * F.col("v")).cast(EXACT)).cast("double"), F.lit(0.0))).alias("theta"))
     psi = F.col("v") * (F.col("u") - F.col("theta") * F.col("v"))
     errors = res.join(F.broadcast(theta), ["concept", "rep"]).groupBy("concept", "rep").agg(

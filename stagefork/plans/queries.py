@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import index_terms, jaccard, tokenize
-from ..operators import effects as E, inference as I, interventions as V, mediation as M, retrieval as R, stability as S, verdict as D
+from ..operators import effects as E, inference as I, interventions as V, learned as L, mediation as M, retrieval as R, stability as S, verdict as D
 from ..sources import artifacts as A, collection as C
 from ..sources.store import file_system, shared_dir
 from .worlds import Retrieval
@@ -183,6 +183,7 @@ BUILDERS = {
     "naive_ols": lambda r: E.naive_ols(E.dml_panel(r)),
     "dml_plr": lambda r: E.dml_plr(E.dml_panel(r)),
     "dml_compare": _panel_compare,
+    "dml_plr_learned": lambda r: L.dml_plr_learned(E.dml_panel(r), by_query=True),
     "criteria": _criteria,
     "verdict": lambda r: D.verdict(_criteria(r)),
     "shard_merge": _merged,
