@@ -25,6 +25,8 @@ PACK, NEAR = 1024, 2e-9
 #: Weights of a matched bigram and of length in the reranker.
 BIGRAM, LENGTH = 0.5, 0.1
 EXACT = "decimal(38,12)"
+#: Document ids of a range at least, whose postings are read or skipped together, and ranges at most.
+RANGE, RANGES = 64, 1 << 14
 #: (rows, key, text) to a table key, norm, v; (pairs, postings, documents) to a table text, doc_id, ce.
 Encoder = Callable[[DataFrame, str, str], DataFrame]
 Reranker = Callable[[DataFrame, DataFrame, DataFrame], DataFrame]
@@ -71,6 +73,52 @@ def bm25_scores(texts: DataFrame, posted: DataFrame, stem: bool = False) -> Data
     return sums.select("text", "doc_id", F.round(F.col("s").cast("double"), 9).alias("bm25"))
 
 
+def bounds(posted: DataFrame, k: int = K, width: int = RANGE) -> DataFrame:
+    """term, range, best, n, kth: each term's greatest contribution and postings in every range of `width` document ids, and its k-th best anywhere."""
+    ranges = posted.groupBy("term", _range(width).alias("range")).agg(F.max("contrib").alias("best"), F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy("term").orderBy(F.desc("contrib"), "doc_id")
+    first = posted.select("term", "contrib", F.row_number().over(order).alias("rk")).where(F.col("rk") <= k)
+    kth = first.groupBy("term").agg(F.min("contrib").alias("kth"), F.count(F.lit(1)).alias("has")).where(F.col("has") == k).drop("has")
+    return ranges.join(kth, "term", "left")
+
+
+def range_width(n_docs: int) -> int:
+    """Document ids of a range: enough of them that there are RANGES at most, so that bounds stay far smaller than postings."""
+    return max(RANGE, -(-n_docs // RANGES))
+
+
+def _range(width: int) -> Column:
+    return F.floor(F.col("doc_id") / width).cast("long")
+
+
+def _promising(texts: DataFrame, bounded: DataFrame, stem: bool) -> DataFrame:
+    """text, range, n, kept: whether a document of the range can be among the text's k best.
+
+    A document scores at least what one term gives it, so a text's k-th best score is at
+    least the k-th best contribution of any of its terms; and no document of a range
+    scores more than the terms' greatest contributions there add up to.
+    """
+    rows = query_terms(texts.distinct(), stem).join(bounded, "term")
+    found = rows.groupBy("text", "range").agg(F.sum("best").alias("most"), F.sum("n").alias("n"))
+    least = rows.groupBy("text").agg(F.max("kth").alias("least"))
+    return found.join(least, "text").select("text", "range", "n", (F.col("least").isNull() | (F.col("most") >= F.col("least") - F.lit("0.000000002").cast(EXACT))).alias("kept"))
+
+
+def pruned_bm25_scores(texts: DataFrame, posted: DataFrame, bounded: DataFrame, stem: bool = False, width: int = RANGE) -> DataFrame:
+    """text, doc_id, bm25 of all documents that can be among a text's k best (the k of `bounds`); ranges that can't are not read."""
+    kept = _promising(texts, bounded, stem).where("kept").select("text", "range")
+    asked = query_terms(texts, stem).join(kept, "text")
+    own = posted.select("term", "doc_id", "contrib", _range(width).alias("range"))
+    sums = asked.join(own, ["term", "range"]).groupBy("text", "doc_id").agg(F.sum("contrib").alias("s"))
+    return sums.select("text", "doc_id", F.round(F.col("s").cast("double"), 9).alias("bm25"))
+
+
+def pruning(texts: DataFrame, bounded: DataFrame, stem: bool = False) -> DataFrame:
+    """text, ranges, ranges_read, postings, postings_read: what the bounds leave of each text's work."""
+    rows = _promising(texts, bounded, stem)
+    return rows.groupBy("text").agg(F.count(F.lit(1)).alias("ranges"), F.count_if("kept").alias("ranges_read"), F.sum("n").alias("postings"), F.sum(F.when(F.col("kept"), F.col("n")).otherwise(0)).alias("postings_read"))
+
+
 def features(text: Column) -> Column:
     tokens = tokenize(text)
     return F.concat(tokens, bigrams(tokens))

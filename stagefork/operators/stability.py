@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.ranking import rbo
 from ..functions.text import CONTENT_STOPWORDS, draw
@@ -13,8 +13,6 @@ from ..plans.worlds import Retrieval
 from .quantiles import quantiles
 
 QUERIES, TOP, DEGENERATE, SEED = 50, 10, 0.80, 42
-#: Synonyms by lower-cased word; a parameter, whose default suits no language in particular.
-SYNONYMS: dict[str, str] = {"child": "kid", "big": "large", "begin": "start", "illness": "disease", "doctor": "physician"}
 
 
 def words(text: Column) -> Column:
@@ -47,14 +45,37 @@ def plural(word: Column) -> Column:
             .otherwise(F.concat(word, F.lit("s"))))
 
 
-def synonym_variants(queries: DataFrame, corpus_words: DataFrame, synonyms: dict[str, str] | None = None, seed: int = SEED) -> DataFrame:
-    """query_id, variant_text: known words replaced, and one word's number changed if the corpus has the other form."""
-    known = F.create_map(*(F.lit(x) for pair in (SYNONYMS if synonyms is None else synonyms).items() for x in pair))
+def stem_mates(r: Retrieval) -> DataFrame:
+    """word, other: for each term of the index whose stem others share, the commonest of these; ties to the first by code point.
+
+    A word-form dimension that the collection gives by itself; tables from elsewhere take its place.
+    """
+    def build():
+        forms = r.vocabulary.select("term", "df").join(r.stems, "term")
+        order = Window.partitionBy("stem").orderBy(F.desc("df"), "term")
+        first = forms.select("stem", "term", F.row_number().over(order).alias("n")).where(F.col("n") <= 2).groupBy("stem").agg(
+            F.max(F.when(F.col("n") == 1, F.col("term"))).alias("one"), F.max(F.when(F.col("n") == 2, F.col("term"))).alias("two")).where("two is not null")
+        return forms.join(first, "stem").select(F.col("term").alias("word"), F.when(F.col("term") == F.col("one"), F.col("two")).otherwise(F.col("one")).alias("other"))
+
+    return r._table("stem_mates", build, "inputs")
+
+
+def synonym_variants(queries: DataFrame, corpus_words: DataFrame, synonyms: DataFrame, irregular: DataFrame | None = None, seed: int = SEED) -> DataFrame:
+    """query_id, variant_text: known words replaced, and one word's number changed if the corpus has the other form.
+
+    `synonyms` (word, other) are lower-case; of several for a word the first by code point
+    is taken. `irregular` (word, other) has number forms that the rules don't give, each
+    way round in a row of its own. Both are joined, so Spark broadcasts them only where
+    they are small.
+    """
+    one = lambda table, name: table.groupBy(F.col("word").alias("_lower")).agg(F.min("other").alias(name))
     rows = queries.select("query_id", F.posexplode(words(F.col("query_text"))).alias("i", "word"))
     rows = rows.withColumn("core", F.regexp_extract("word", r"^(.*?[\p{L}\p{N}])?([^\p{L}\p{N}]*)$", 1)).withColumn("tail", F.regexp_extract("word", r"^(.*?[\p{L}\p{N}])?([^\p{L}\p{N}]*)$", 2))
-    new = F.try_element_at(known, F.lower("core"))
-    rows = rows.withColumn("new", F.when(F.substring("core", 1, 1).rlike(r"\p{Lu}"), F.initcap(new)).otherwise(new)).withColumn("w", F.col("core"))
+    rows = rows.withColumn("_lower", F.lower("core")).join(one(synonyms, "new"), "_lower", "left")
+    rows = rows.withColumn("new", F.when(F.substring("core", 1, 1).rlike(r"\p{Lu}"), F.initcap("new")).otherwise(F.col("new"))).withColumn("w", F.col("core"))
     flip = F.when(F.col("w").endswith("s"), singular(F.col("w"))).otherwise(plural(F.col("w")))
+    if irregular is not None:
+        rows, flip = rows.join(one(irregular, "_irregular"), "_lower", "left"), F.coalesce("_irregular", flip)
     able = F.col("core").rlike(r"^\p{Ll}{4,}$") & ~F.col("core").isin(*CONTENT_STOPWORDS)
     flips = rows.where(able).withColumn("flip", flip).where("flip != core").join(corpus_words.select(F.col("term").alias("flip")), "flip", "left_semi")
     first = flips.groupBy("query_id").agg(F.min(F.struct(draw(seed, "flip", F.col("query_id"), F.col("i")).alias("h"), "i", "flip")).alias("f"))
@@ -64,27 +85,32 @@ def synonym_variants(queries: DataFrame, corpus_words: DataFrame, synonyms: dict
 
 
 def corpus_words(r: Retrieval) -> DataFrame:
-    return r.docs.select(F.explode("tokens").alias("term")).distinct()
+    return r._table("corpus_words", lambda: r.docs.select(F.explode("tokens").alias("term")).distinct(), "inputs")
 
 
 def sampled(r: Retrieval, n: int = QUERIES, seed: int = SEED) -> DataFrame:
     return r.queries.orderBy(draw(seed, "stability", F.col("query_id")), "query_id").limit(n)
 
 
-#: Rewrites by name: (queries, the corpus's words) to a table query_id, variant_text.
+#: A rewrite: (queries, the corpus's words) to a table query_id, variant_text.
 Rewrite = Callable[[DataFrame, DataFrame], DataFrame]
-VARIANTS: dict[str, Rewrite] = {
-    "destop": lambda own, words_: own.select("query_id", destopped(F.col("query_text")).alias("variant_text")),
-    "shuffle": lambda own, words_: own.select("query_id", shuffled(F.col("query_text"), F.col("query_id")).alias("variant_text")),
-    "synonym": synonym_variants,
-}
 
 
-def variants(r: Retrieval, rewrites: dict[str, Rewrite] = VARIANTS) -> DataFrame:
-    """query_id, query_text, variant, variant_text."""
+def rewrites(synonyms: DataFrame, irregular: DataFrame | None = None) -> dict[str, Rewrite]:
+    """The usual rewrites by name, with these word forms."""
+    return {
+        "destop": lambda own, known: own.select("query_id", destopped(F.col("query_text")).alias("variant_text")),
+        "shuffle": lambda own, known: own.select("query_id", shuffled(F.col("query_text"), F.col("query_id")).alias("variant_text")),
+        "synonym": lambda own, known: synonym_variants(own, known, synonyms, irregular),
+    }
+
+
+def variants(r: Retrieval, made: dict[str, Rewrite] | None = None) -> DataFrame:
+    """query_id, query_text, variant, variant_text; by default with the collection's own word forms."""
     own, known = sampled(r), corpus_words(r)
-    made = [rewrite(own, known).select("query_id", F.lit(name).alias("variant"), "variant_text") for name, rewrite in rewrites.items()]
-    return reduce(DataFrame.unionByName, made).join(own, "query_id")
+    given = rewrites(stem_mates(r)) if made is None else made
+    rows = [rewrite(own, known).select("query_id", F.lit(name).alias("variant"), "variant_text") for name, rewrite in given.items()]
+    return reduce(DataFrame.unionByName, rows).join(own, "query_id")
 
 
 def rankings(r: Retrieval, texts: DataFrame, top: int = TOP) -> DataFrame:

@@ -6,7 +6,6 @@ import re
 
 from ..functions.stem import AFTER_PLURAL, DOUBLE, PREFIXES, SHORT, STEP_2, STEP_3, STEP_4, WHOLE
 from ..functions.text import CONTENT_STOPWORDS, INDEX_STOPWORDS
-from ..operators.stability import SYNONYMS
 
 
 def _list(words) -> str:
@@ -121,7 +120,6 @@ def _boot(name: str, clusters: str, seed: int, gap: str, sums: tuple[str, ...])
 CONF = ("doc_len", "doc_emb_norm", "lex_overlap", "query_len")
 PATHS = ("reranker", "lexical", "dense", "residual")
 _WORLDS = {"baseline": "000", "full": "111", "freeze_candidates": "001", "freeze_rerank": "110", "freeze_dense": "101", "freeze_bm25": "011"}
-_SYN = "MAP {" + ", ".join(f"'{a}': '{b}'" for a, b in SYNONYMS.items()) + "}"
 _GAIN = "CAST((pow(2, {r}) - 1) / log2({n} + 1) AS DECIMAL(38, 12))"
 _SHUFFLED = f"""CASE WHEN len(ws) < 2 THEN query_text ELSE CASE WHEN array_to_string(mixed, ' ') = array_to_string(ws, ' ') THEN array_to_string(list_reverse(ws), ' ') ELSE array_to_string(mixed, ' ') END END"""
 
@@ -185,6 +183,13 @@ STEPS: dict[str, str] = {
             LEFT JOIN (SELECT query_id, doc_id, count(*) AS has FROM drawn_c GROUP BY ALL) h ON h.query_id = m.query_id AND h.doc_id = m.doc_id) WHERE k <= 3""",
     "index_words": f"SELECT unnest({_terms('text')}) AS term FROM corpus",
     "stems": _stems("index_words"),
+    "mates": """SELECT f.term AS word, CASE WHEN f.term = g.one THEN g.two ELSE g.one END AS other FROM (SELECT DISTINCT p.term, s.stem FROM posts p JOIN stems s USING (term)) f
+        JOIN (SELECT stem, max(CASE WHEN n = 1 THEN term END) AS one, max(CASE WHEN n = 2 THEN term END) AS two FROM (
+            SELECT term, stem, row_number() OVER (PARTITION BY stem ORDER BY df DESC, term) AS n FROM (SELECT DISTINCT p.term, p.df, s.stem FROM posts p JOIN stems s USING (term))) GROUP BY stem) g
+        ON g.stem = f.stem WHERE g.two IS NOT NULL""",
+    "ranged": "SELECT term, doc_id // 64 AS range, max(contrib) AS best, count(*) AS n FROM posts GROUP BY ALL",
+    "kths": "SELECT term, min(contrib) AS kth FROM (SELECT term, contrib, row_number() OVER (PARTITION BY term ORDER BY contrib DESC, doc_id) AS n FROM posts) WHERE n <= 20 GROUP BY term HAVING count(*) = 20",
+    "query_words": f"SELECT query_id, unnest({_terms('query_text')}) AS term FROM asked",
     "posts_s": f"""SELECT term, doc_id, tf, df, idf, CAST(idf * tf / (tf + 1.5 * (1 - 0.75 + 0.75 * doc_len / avgdl)) AS DECIMAL(38, 12)) AS contrib
         FROM (SELECT *, ln(1 + (n_docs - df + 0.5) / (df + 0.5)) AS idf
               FROM (SELECT *, count(*) OVER (PARTITION BY term) AS df FROM (SELECT doc_id, doc_len, stem AS term, count(*) AS tf FROM (SELECT doc_id, doc_len, unnest({_terms('text')}) AS term FROM corpus) JOIN stems USING (term) GROUP BY ALL))
@@ -251,7 +256,7 @@ STEPS: dict[str, str] = {
         FROM (SELECT *, {_flip('core')} AS flip FROM cores WHERE regexp_matches(core, '^\p{{Ll}}{{4,}}$') AND NOT list_contains({CONTENT}, core)) WHERE flip <> core AND flip IN (SELECT term FROM all_words)) WHERE k = 1""",
     "synonym": rf"""SELECT query_id, query_text, string_agg(out || tail, ' ' ORDER BY i) AS variant_text FROM (
         SELECT c.query_id, c.query_text, c.i, c.tail, coalesce(f.flip, CASE WHEN regexp_matches(core, '^\p{{Lu}}') THEN upper(s[1]) || s[2:] ELSE s END, core) AS out
-        FROM (SELECT *, {_SYN}[lower(core)] AS s FROM cores) c LEFT JOIN flips f ON f.query_id = c.query_id AND f.i = c.i) GROUP BY ALL""",
+        FROM (SELECT c.*, m.other AS s FROM cores c LEFT JOIN mates m ON m.word = lower(c.core)) c LEFT JOIN flips f ON f.query_id = c.query_id AND f.i = c.i) GROUP BY ALL""",
     "fifty": f"""SELECT query_id FROM asked ORDER BY {_draw("'42'", "'stability'", 'query_id')}, query_id LIMIT 50""",
     "rewrites": """SELECT *, 'destop' AS variant FROM destop WHERE query_id IN (SELECT query_id FROM fifty) UNION ALL SELECT *, 'shuffle' FROM shuffle WHERE query_id IN (SELECT query_id FROM fifty)
         UNION ALL SELECT *, 'synonym' FROM synonym WHERE query_id IN (SELECT query_id FROM fifty)""",
@@ -367,6 +372,10 @@ FINAL: dict[str, str] = {
     "control_admissible_stemmed": """SELECT a.query_id, a.doc_id, (SELECT count(*) FROM pool_n) - coalesce(b.n, 0) AS n_admissible FROM aims a
         LEFT JOIN (SELECT query_id, doc_id, count(*) AS n FROM barred_s GROUP BY ALL) b ON b.query_id = a.query_id AND b.doc_id = a.doc_id WHERE (SELECT count(*) FROM pool_n) > coalesce(b.n, 0)""",
     "qrels_fold": "SELECT conv_id AS query_id, role AS doc_id, CAST(arg_max(length(text), turn) AS INT) AS rel FROM conversations WHERE text IS NOT NULL GROUP BY ALL",
+    "word_forms": "SELECT * FROM mates",
+    "bm25_pruning": """SELECT query_id, count(*) AS ranges, count(*) FILTER (WHERE kept) AS ranges_read, CAST(sum(n) AS BIGINT) AS postings, CAST(coalesce(sum(n) FILTER (WHERE kept), 0) AS BIGINT) AS postings_read FROM (
+            SELECT q.query_id, b.range, sum(b.n) AS n, sum(b.best) >= coalesce(CAST(any_value(t.least) AS DECIMAL(38, 12)) - 0.000000002, -1) AS kept FROM query_words q JOIN ranged b USING (term)
+            LEFT JOIN (SELECT query_id, max(kth) AS least FROM query_words JOIN kths USING (term) GROUP BY query_id) t ON t.query_id = q.query_id GROUP BY ALL) GROUP BY query_id""",
     "extremes": """SELECT r.*, s.path, s.shift_pp FROM (SELECT query_id, variant, config, rbo FROM raw ORDER BY rbo, variant, config, query_id LIMIT 1) r
         CROSS JOIN (SELECT path, shift_pp FROM shifts ORDER BY shift_pp DESC, path DESC LIMIT 1) s""",
 }

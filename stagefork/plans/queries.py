@@ -173,7 +173,9 @@ BUILDERS = {
     "corpus_vocab": S.corpus_words,
     "variant_destop": lambda r: r.queries.select("query_id", S.destopped(F.col("query_text")).alias("variant_text")),
     "variant_shuffle": lambda r: r.queries.select("query_id", S.shuffled(F.col("query_text"), F.col("query_id")).alias("variant_text")),
-    "variant_synonym": lambda r: S.synonym_variants(r.queries, S.corpus_words(r)),
+    "variant_synonym": lambda r: S.synonym_variants(r.queries, S.corpus_words(r), S.stem_mates(r)),
+    "word_forms": S.stem_mates,
+    "bm25_pruning": lambda r: _named(r, R.pruning(_texts(r), r.bounds)),
     "stability_raw": S.stability_raw,
     "stability_summary": lambda r: S.stability_summary(S.stability_raw(r)),
     "stability_noop": lambda r: S.stability_noop(S.stability_raw(r)),

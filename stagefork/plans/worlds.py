@@ -71,6 +71,11 @@ class Retrieval:
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         return self._table("postings", lambda: R.postings(self.docs, self.stems if self.stem else None), "stem", buckets=("term", n))
 
+    @property
+    def bounds(self) -> DataFrame:
+        """What postings can give at most, by ranges of documents."""
+        return self._table("bounds", lambda: R.bounds(self.postings, width=R.range_width(self.n_docs)), "stem")
+
     @property
     def vocabulary(self) -> DataFrame:
         return self._table("vocabulary", lambda: R.vocabulary(self.postings), "stem")
@@ -109,7 +114,8 @@ class Retrieval:
 
     def bm25_top(self, texts: DataFrame, k: int = R.K) -> DataFrame:
         first = self.postings.join(F.broadcast(self.first_docs), "doc_id", "left_semi")
-        return R.top(self.bm25(texts), "bm25", texts, R.bm25_scores(texts, first, self.stem), self.first_docs, k)
+        scores = R.pruned_bm25_scores(texts, self.postings, self.bounds, self.stem, R.range_width(self.n_docs)) if k <= R.K else self.bm25(texts)
+        return R.top(scores, "bm25", texts, R.bm25_scores(texts, first, self.stem), self.first_docs, k)
 
     def dense_top(self, texts: DataFrame, k: int = R.K) -> DataFrame:
         first = self.doc_vectors.join(F.broadcast(self.first_docs), "doc_id", "left_semi")

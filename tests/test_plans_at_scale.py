@@ -134,3 +134,31 @@ def test_vectors_take_no_shuffle(spark):
         h = int(hashlib.md5(f.encode()).hexdigest()[:8], 16)
         v[h % 64] += 1 - 2 * (h // 64 % 2)
     assert got[1]["v"] == v.tolist()
+
+
+def test_pruned_scores_keep_every_best_document(spark):
+    """Top documents with and without bounds, for texts of common, rare, repeated, unknown and no terms; some ranges are left out."""
+    from stagefork.operators import retrieval as R
+
+    rng = random.Random(1)
+    posted = [(t, d, round(rng.random() ** 3 * (3 if d % 97 == 0 else 1) * w, 6)) for t, w, share in (("common", 1, 0.6), ("mid", 2, 0.2), ("rare", 5, 0.02), ("rarest", 9, 0.002)) for d in range(2000) if rng.random() < share]
+    made = spark.createDataFrame(posted, "term string, doc_id long, contrib double").withColumn("contrib", F.col("contrib").cast(R.EXACT))
+    texts = spark.createDataFrame([(t,) for t in ("common", "common mid", "rare common", "rarest common mid", "mid mid rare", "unknown common", "unknown", "rarest")], "text string")
+    bounded = R.bounds(made, 10, 16)
+    first = spark.range(20).withColumnRenamed("id", "doc_id")
+    best = lambda scores: sorted(rows(R.top(scores, "bm25", texts, R.bm25_scores(texts, made.join(first, "doc_id", "left_semi")), first, 10)))
+    assert best(R.pruned_bm25_scores(texts, made, bounded, width=16)) == best(R.bm25_scores(texts, made))
+    report = {r["text"]: r for r in R.pruning(texts, bounded).collect()}
+    assert report["rare common"]["postings_read"] < report["rare common"]["postings"] and report["rarest"]["ranges_read"] == report["rarest"]["ranges"]
+    assert sum(r["postings_read"] for r in report.values()) < 0.8 * sum(r["postings"] for r in report.values())
+
+
+def test_word_forms_are_tables(spark):
+    from stagefork.operators import stability as S
+
+    queries = spark.createDataFrame([(1, "Big mice run"), (2, "large, trees"), (3, "x")], "query_id long, query_text string")
+    known = spark.createDataFrame([("mouse",), ("tree",), ("runs",)], "term string")
+    synonyms = spark.createDataFrame([("big", "large"), ("large", "huge"), ("large", "vast")], "word string, other string")
+    irregular = spark.createDataFrame([("mice", "mouse"), ("mouse", "mice")], "word string, other string")
+    assert dict(rows(S.synonym_variants(queries, known, synonyms, irregular))) == {1: "Large mouse run", 2: "huge, tree", 3: "x"}
+    assert dict(rows(S.synonym_variants(queries, known, synonyms.limit(0)))) == {1: "Big mice run", 2: "large, tree", 3: "x"}
