@@ -10,7 +10,7 @@ from functools import cached_property, partial
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import retrieval as R
+from . import retrieval as R
 from ..sources import collection as C
 from ..sources.artifacts import shard_of
 from ..sources.store import Increments, data_fingerprint, scratch, stage_table

@@ -10,7 +10,7 @@ from ..functions.text import index_terms, jaccard, tokenize
 from ..operators import effects as E, inference as I, interventions as V, learned as L, mediation as M, retrieval as R, stability as S, verdict as D
 from ..sources import artifacts as A, collection as C
 from ..sources.store import file_system, shared_dir
-from .worlds import Retrieval
+from ..operators.worlds import Retrieval
 
 
 def _texts(r: Retrieval) -> DataFrame:

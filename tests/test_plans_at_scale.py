@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from stagefork.operators import inference as I, interventions as V
 from stagefork.operators.quantiles import quantiles
-from stagefork.plans.worlds import Retrieval
+from stagefork.operators.worlds import Retrieval
 from stagefork.sources import collection as C
 
 SF = "/root/testdata/sf0.001"

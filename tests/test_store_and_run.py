@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stagefork.operators import interventions as V
 from stagefork.plans import run as P
-from stagefork.plans.worlds import Retrieval
+from stagefork.operators.worlds import Retrieval
 from stagefork.sources import artifacts as A, store as T
 
 SF = "/root/testdata/sf0.001"
