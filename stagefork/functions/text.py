@@ -27,7 +27,7 @@ def tokenize(text: Column) -> Column:
 
 def without(tokens: Column, stopwords=CONTENT_STOPWORDS) -> Column:
     """Tokens that aren't stop words, in order and with repeats."""
-    return F.filter(tokens, lambda t: ~t.isin(*stopwords))
+    return F.filter(tokens, lambda t: ~t.isin(*stopwords)) if stopwords else tokens
 
 
 def index_terms(text: Column) -> Column:

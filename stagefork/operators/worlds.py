@@ -10,6 +10,7 @@ from functools import cached_property, partial
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.text import CONTENT_STOPWORDS
 from . import retrieval as R
 from ..sources import collection as C
 from ..sources.artifacts import shard_of
@@ -26,21 +27,22 @@ class Retrieval:
     that is encoded as a query, and `first` keeps that many queries, by id. `name` tells
     stage tables of such settings apart and must differ where they do. With `stem`, the
     lexical channel, and what hangs on its terms, works on stems. `shard` (i, n) keeps
-    every n-th query from the i-th on.
+    every n-th query from the i-th on. `stopwords` are left out of content tokens, from
+    which terms are sampled and concepts taken.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str, encode: R.Encoder = R.hashed_vectors, rerank: R.Reranker | None = None, prefix: str = "", first: int | None = None, name: str = "",
-                 stem: bool = False, shard: tuple[int, int] | None = None):
+                 stem: bool = False, shard: tuple[int, int] | None = None, stopwords: tuple[str, ...] = CONTENT_STOPWORDS):
         if not name and (encode is not R.hashed_vectors or rerank is not None or prefix or first is not None):
             raise ValueError("name the settings")
         self.spark, self.sf_dir, self.name = spark, sf_dir, name
         self.encode, self.rerank, self.prefix, self.first = encode, rerank or partial(R.rerank_scores, stem=stem), prefix, first
-        self.stem, self.shard = stem, shard
+        self.stem, self.shard, self.stopwords = stem, shard, tuple(sorted(set(stopwords)))
 
     @cached_property
     def data(self) -> str:
-        """Fingerprint of the input files, as they are when this is first asked for."""
-        return data_fingerprint(self.spark, [f"{self.sf_dir}/{t}.parquet" for t in INPUTS])
+        """Fingerprint of the input files, as they are when this is first asked for, and of the stop words, which are an input like them."""
+        return data_fingerprint(self.spark, [f"{self.sf_dir}/{t}.parquet" for t in INPUTS], self.stopwords)
 
     @property
     def settings(self) -> dict:
@@ -54,7 +56,7 @@ class Retrieval:
     @property
     def docs(self) -> DataFrame:
         tokens = self._table("tokens", lambda: C.tokenised(self.spark, self.sf_dir), "inputs")
-        return self._table("docs", lambda: C.corpus(tokens), "inputs")
+        return self._table("docs", lambda: C.corpus(tokens, self.stopwords), "inputs")
 
     @cached_property
     def n_docs(self) -> int:
@@ -92,7 +94,7 @@ class Retrieval:
     @property
     def queries(self) -> DataFrame:
         def build():
-            plain = self if not self.stem else Retrieval(self.spark, self.sf_dir)
+            plain = self if not self.stem else Retrieval(self.spark, self.sf_dir, stopwords=self.stopwords)
             rows = C.queries(self.spark, self.sf_dir, plain.vocabulary, self.qrels, self.n_docs)
             rows = rows if self.first is None else rows.orderBy("query_id").limit(self.first)
             if self.shard is None:

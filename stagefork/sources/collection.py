@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..functions.text import INDEX_STOPWORDS, tokenize, without
+from ..functions.text import CONTENT_STOPWORDS, INDEX_STOPWORDS, tokenize, without
 
 #: Share of documents that a query term is in; terms of a query.
 BAND, TERMS = (0.05, 0.40), 4
@@ -29,10 +29,16 @@ def tokenised(spark: SparkSession, sf_dir: str, ce_words: int = 460) -> DataFram
     return docs.select("doc_id", "title", "text", words.alias("ce_text"), tokenize(F.col("text")).alias("tokens"))
 
 
-def corpus(tokens: DataFrame) -> DataFrame:
-    """doc_id, title, text, ce_text, tokens, content_tokens, doc_len from `tokenised`."""
+def words_of(spark: SparkSession, path: str) -> tuple[str, ...]:
+    """A word list (stop words, a lexicon) from a text file with a word a line; case and blank lines don't count. Lists are short."""
+    word = F.lower(F.trim("value"))
+    return tuple(sorted(r["w"] for r in spark.read.text(path).select(word.alias("w")).where("w != ''").distinct().collect()))
+
+
+def corpus(tokens: DataFrame, stopwords: tuple[str, ...] = CONTENT_STOPWORDS) -> DataFrame:
+    """doc_id, title, text, ce_text, tokens, content_tokens, doc_len from `tokenised`; `stopwords` are left out of content tokens."""
     indexed = F.size(without(F.col("tokens"), INDEX_STOPWORDS)).cast("double")
-    return tokens.select("*", without(F.col("tokens")).alias("content_tokens"), indexed.alias("doc_len"))
+    return tokens.select("*", without(F.col("tokens"), stopwords).alias("content_tokens"), indexed.alias("doc_len"))
 
 
 def fold_judgements(rows: DataFrame, order: str = "place") -> DataFrame:

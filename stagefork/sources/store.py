@@ -63,9 +63,9 @@ def move(spark: SparkSession, start: str, end: str) -> None:
         raise OSError(f"{end} isn't whole")
 
 
-def data_fingerprint(spark: SparkSession, paths: list[str]) -> str:
-    """Hangs on name, length and time of every file below the paths; a path that isn't there counts as empty."""
-    found: list[str] = []
+def data_fingerprint(spark: SparkSession, paths: list[str], more: tuple[str, ...] = ()) -> str:
+    """Hangs on name, length and time of every file below the paths, and on `more`; a path that isn't there counts as empty."""
+    found: list[str] = [f"= {x}" for x in more]
 
     def walk(fs, where) -> None:
         for status in fs.listStatus(where):

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from stagefork.operators import retrieval as R, stability as S, verdict as D
 from stagefork.operators.worlds import Retrieval
-from stagefork.sources import artifacts as A
+from stagefork.sources import artifacts as A, collection as C
 
 SF = "/root/testdata/sf0.001"
 
@@ -91,3 +91,16 @@ def test_variant_registry(spark):
     r = Retrieval(spark, SF)
     rows = S.variants(r, {"upper": lambda own, known: own.select("query_id", F.upper("query_text").alias("variant_text"))}).collect()
     assert rows and all(x["variant"] == "upper" and x["variant_text"] == x["query_text"].upper() for x in rows)
+
+
+def test_stop_words_from_a_file(spark, tmp_path):
+    """Another list gives other content tokens, in tables of their own; the usual ones stay."""
+    usual = Retrieval(spark, SF)
+    common = [r["term"] for r in usual.docs.select(F.explode("content_tokens").alias("term")).groupBy("term").count().orderBy(F.desc("count"), "term").limit(2).collect()]
+    (tmp_path / "words.txt").write_text(f"{common[0].upper()}\n\n {common[1]} \n{common[1]}\n")
+    own = C.words_of(spark, str(tmp_path / "words.txt"))
+    assert own == tuple(sorted(common))
+    other = Retrieval(spark, SF, stopwords=own)
+    has = lambda r, term: r.docs.where(F.array_contains("content_tokens", term)).count()
+    assert [has(other, t) for t in common] == [0, 0] and all(has(usual, t) for t in common) and has(other, "the") >= has(usual, "the")
+    assert [tuple(x) for x in other.docs.select("doc_id", "doc_len").orderBy("doc_id").collect()] == [tuple(x) for x in usual.docs.select("doc_id", "doc_len").orderBy("doc_id").collect()]
