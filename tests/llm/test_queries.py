@@ -394,17 +394,14 @@ def test_line_dedup_links_short_near_lines(spark, edits, least):
 
 
 def near_groups(texts):
-    """Group of each normalised text: fingerprints of either seed joined within the radius, of these texts with a similarity of 0.8 or more."""
+    """Group of each normalised text: pairs within the radius by either seed and within the total by both joined, of these texts with a similarity of 0.8 or more."""
     every = sorted({near_copies.normal(t) for t in texts})
-    ties = []
-    for seed in near_copies.SEEDS:
-        by = defaultdict(list)
-        for t in every:
-            by[brute_fingerprint(t.decode("utf-8", "surrogatepass"), near_copies.WORDS, seed)].append(t)
-        distinct = sorted(by)
-        ties += [(by[a][0], by[b][0]) for i, a in enumerate(distinct) for b in distinct[:i] if (a ^ b).bit_count() <= near_copies.RADIUS]
-        ties += [(own[0], t) for own in by.values() for t in own[1:]]
-    near = joined_up(every, ties)
+    fps = np.array([[brute_fingerprint(t.decode("utf-8", "surrogatepass"), near_copies.WORDS, seed) for seed in near_copies.SEEDS] for t in every], np.uint64).reshape(-1, 2)
+    close = []
+    for i in range(len(every)):
+        d = np.bitwise_count(fps[:i] ^ fps[i]).astype(int)
+        close += [(every[i], every[j]) for j in np.flatnonzero((d.min(axis=1) <= near_copies.RADIUS) & (d.sum(axis=1) <= near_copies.TOTAL)).tolist()] if i else []
+    near = joined_up(every, close)
     sets = {t: near_copies.word_shingles(t) for t in every}
     links = [(a, b) for i, a in enumerate(every) for b in every[:i] if near[a] == near[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
     return joined_up(every, links)

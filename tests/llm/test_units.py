@@ -347,3 +347,26 @@ def test_similar_pairs_agree_with_sets(letters):
             b.append("".join(y))
         sets = [({s[i:i + 3] for i in range(max(1, len(s) - 2))}, {t[i:i + 3] for i in range(max(1, len(t) - 2))}) for s, t in zip(a, b, strict=True)]
         assert L.similar_pairs(a, b).tolist() == [5 * len(x & y) >= 4 * len(x | y) for x, y in sets]
+
+
+def test_pairs_and_joining_by_plain_loops():
+    from stagefork.llm import near_copies as N
+
+    rng = np.random.default_rng(8)
+    for most in (1, 7, 1 << 20):
+        N.PAIRS, before = most, N.PAIRS
+        group = np.sort(rng.integers(0, 12, 80))
+        near = np.concatenate([np.sort(rng.integers(0, 2, (group == g).sum()))[::-1] for g in np.unique(group)]).astype(bool)
+        got = [p for i, j in N._pairs(group, near) for p in zip(i.tolist(), j.tolist())]
+        N.PAIRS = before
+        assert sorted(got) == [(i, j) for i in range(80) for j in range(80) if near[i] and not near[j] and group[i] == group[j]]
+    links = [(int(a), int(b)) for a, b in rng.integers(0, 30, (60, 2))]
+    kept = N.joining([a for a, _ in links], [b for _, b in links], links)
+
+    def groups(edges):
+        root = list(range(30))
+        for a, b in edges:
+            root = [root[b] if r == root[a] else r for r in root]
+        return [[r == s for s in root] for r in root]
+
+    assert groups(kept) == groups(links) and set(kept) <= set(links) and len(kept) < 30
