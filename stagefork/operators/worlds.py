@@ -55,8 +55,8 @@ class Retrieval:
 
     @property
     def docs(self) -> DataFrame:
-        tokens = self._table("tokens", lambda: C.tokenised(self.spark, self.sf_dir), "inputs")
-        return self._table("docs", lambda: C.corpus(tokens, self.stopwords), "inputs")
+        tokens = lambda: self._table("tokens", lambda: C.tokenised(self.spark, self.sf_dir), "inputs")
+        return self._table("docs", lambda: C.corpus(tokens(), self.stopwords), "inputs")
 
     @cached_property
     def n_docs(self) -> int:
