@@ -436,6 +436,7 @@ def test_near_copies_recall_over_all_pairs(spark):
 def test_near_copies_of_drifting_texts(spark, monkeypatch, block):
     """Chains whose ends aren't alike, plain copies, ids that are null or repeat, and texts without words."""
     monkeypatch.setattr(near_copies, "BLOCK", block)
+    monkeypatch.setattr(near_copies, "KEY_BLOCK", 4 * block)
     rng, texts = random.Random(5), [None, "", " \n", "one", "ONE ", "Two words"]
     for _ in range(4):
         words = [f"w{rng.randrange(10**6)}" for _ in range(150)]

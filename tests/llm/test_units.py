@@ -357,9 +357,10 @@ def test_pairs_and_joining_by_plain_loops():
         N.PAIRS, before = most, N.PAIRS
         group = np.sort(rng.integers(0, 12, 80))
         near = np.concatenate([np.sort(rng.integers(0, 2, (group == g).sum()))[::-1] for g in np.unique(group)]).astype(bool)
-        got = [p for i, j in N._pairs(group, near) for p in zip(i.tolist(), j.tolist())]
+        whole = group % 3 == 0
+        got = [p for i, j in N._pairs(group, near, whole) for p in zip(i.tolist(), j.tolist())]
         N.PAIRS = before
-        assert sorted(got) == [(i, j) for i in range(80) for j in range(80) if near[i] and not near[j] and group[i] == group[j]]
+        assert sorted(got) == [(i, j) for i in range(80) for j in range(80) if near[i] and (whole[i] or not near[j]) and group[i] == group[j]]
     links = [(int(a), int(b)) for a, b in rng.integers(0, 30, (60, 2))]
     kept = N.joining([a for a, _ in links], [b for _, b in links], links)
 
