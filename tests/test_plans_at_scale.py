@@ -162,3 +162,15 @@ def test_word_forms_are_tables(spark):
     irregular = spark.createDataFrame([("mice", "mouse"), ("mouse", "mice")], "word string, other string")
     assert dict(rows(S.synonym_variants(queries, known, synonyms, irregular))) == {1: "Large mouse run", 2: "huge, tree", 3: "x"}
     assert dict(rows(S.synonym_variants(queries, known, synonyms.limit(0)))) == {1: "Big mice run", 2: "large, tree", 3: "x"}
+
+
+def test_queries_with_one_text_keep_their_own_rows(spark):
+    """Two queries of the same text get the rows that each gets alone, once."""
+    r = Retrieval(spark, SF)
+    text = r.queries.orderBy("query_id").first()["query_text"]
+    alone = sorted(rows(r._factual(spark.createDataFrame([(7001, text)], "query_id int, query_text string")).drop("query_id")))
+    both = r._factual(spark.createDataFrame([(7001, text), (7002, text)], "query_id int, query_text string")).cache()
+    assert alone and all(sorted(rows(both.where(F.col("query_id") == q).drop("query_id"))) == alone for q in (7001, 7002))
+    got = rows(r.pair_scores(both.select(F.col("query_text").alias("text"), "doc_id")))
+    by_text = {d: s for _, d, s in rows(r.bm25(both.select(F.col("query_text").alias("text")).distinct()))}
+    assert len(got) == len(alone) and all(bm25 == by_text.get(d, 0.0) for _, d, bm25, _ in got)
