@@ -174,3 +174,55 @@ def test_queries_with_one_text_keep_their_own_rows(spark):
     got = rows(r.pair_scores(both.select(F.col("query_text").alias("text"), "doc_id")))
     by_text = {d: s for _, d, s in rows(r.bm25(both.select(F.col("query_text").alias("text")).distinct()))}
     assert len(got) == len(alone) and all(bm25 == by_text.get(d, 0.0) for _, d, bm25, _ in got)
+
+
+def test_best_lexical_documents_by_packs(spark, monkeypatch):
+    """Packs of documents and of texts give the k best, ties included, and send on a small part of all scores."""
+    from stagefork.operators import retrieval as R
+
+    rng = random.Random(2)
+    posted = [(t, d, round(rng.random() * w, places)) for t, w, share, places in (("common", 1, 0.7, 9), ("mid", 2, 0.2, 1), ("rare", 5, 0.02, 0), ("rarest", 9, 0.002, 3)) for d in range(3000) if rng.random() < share]
+    made = spark.createDataFrame([(t, d * 10**6, c) for t, d, c in posted], "term string, doc_id long, contrib double").withColumn("contrib", F.col("contrib").cast(R.STORED))
+    texts = spark.createDataFrame([(t,) for t in ("common", "common mid", "mid", "rare common", "rarest common mid", "mid mid rare", "unknown common", "unknown", "", "rarest")], "text string")
+    first = made.select("doc_id").distinct().orderBy("doc_id").limit(20)
+    every = R.bm25_scores(texts, made)
+    best = lambda scores: sorted(rows(R.top(scores, "bm25", texts, R.bm25_scores(texts, made.join(first, "doc_id", "left_semi")), first, 10)))
+    want = best(every)
+    for pack, terms in ((1024, 8192), (100, 3), (1, 1)):
+        monkeypatch.setattr(R, "PACK", pack)
+        monkeypatch.setattr(R, "PACK_TERMS", terms)
+        got = R.top_bm25_scores(texts, made, 300 if pack == 1 else 3000, k=10)
+        assert best(got) == want
+    monkeypatch.undo()
+    assert R.top_bm25_scores(texts, made, 3000, k=10).count() < 0.2 * every.count()
+
+
+def test_terms_are_counted_where_they_are(spark):
+    """Counts of a document's terms take no shuffle, and postings are dealt out by term alone."""
+    from stagefork.operators import retrieval as R
+
+    docs = [(1, "the cat the cat a dog".split()), (2, []), (3, ["cat"] * 5), (4, ["the"]), (5, ["naïve", "東京", "naïve"])]
+    made = spark.createDataFrame([(i, float(len(t)), t) for i, t in docs], "doc_id long, doc_len double, tokens array<string>").repartition(2)
+    want = {(i, float(len(t)), w, n) for i, t in docs for w, n in Counter(t).items() if w != "the"}
+    stored = made.localCheckpoint()
+    counted = R.term_counts(stored, ("the",))
+    assert "Exchange" not in counted._jdf.queryExecution().executedPlan().toString()
+    assert set(rows(counted)) == want == set(rows(R.term_counts(stored.coalesce(1), ("the",))))
+    plan = R.postings(stored, parts=4)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(term" in plan and "doc_id" not in "".join(x.split("]")[0] for x in plan.split("hashpartitioning(")[1:])
+    # A document of many tokens is a part of its own.
+    long = spark.createDataFrame([(1, 1.0, ["x", "y"] * 100_000), (2, 1.0, ["x"]), (3, 1.0, ["y"] * 140_000)], "doc_id long, doc_len double, tokens array<string>").coalesce(1)
+    assert set(rows(R.term_counts(long, ()))) == {(1, 1.0, "x", 100_000), (1, 1.0, "y", 100_000), (2, 1.0, "x", 1), (3, 1.0, "y", 140_000)}
+
+
+def test_light_queries_write_no_table(spark, monkeypatch):
+    from stagefork.plans.queries import queries
+    from stagefork.sources import store
+
+    def refuse(*_, **__):
+        raise AssertionError("a table is written")
+
+    monkeypatch.setattr(store, "move", refuse)
+    monkeypatch.setattr(store, "_MADE", {})
+    for name in ("corpus_scan", "tokenize", "content_tokens", "bm25_terms", "vocab_df"):
+        assert queries()[name](spark, "/root/testdata/sf0.01").limit(1).count() == 1
