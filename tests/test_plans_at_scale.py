@@ -226,3 +226,40 @@ def test_light_queries_write_no_table(spark, monkeypatch):
     monkeypatch.setattr(store, "_MADE", {})
     for name in ("corpus_scan", "tokenize", "content_tokens", "bm25_terms", "vocab_df"):
         assert queries()[name](spark, "/root/testdata/sf0.01").limit(1).count() == 1
+
+
+def test_texts_are_neither_dealt_out_nor_kept_twice(spark):
+    """Documents larger than what is broadcast stay where they are while items are looked up in them; tables hold tokens, not texts."""
+    from stagefork.sources.store import scratch
+
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(200 << 10))
+    try:
+        docs = C.read(spark, "/root/testdata/sf0.01", "documents")
+        items = spark.createDataFrame([(i, r["text"][:200]) for i, r in enumerate(docs.where("length(text) > 200").limit(5).collect())], "query_id int, item string")
+        found = C.holding(docs, scratch(items, "items"))
+        assert {q for q, _ in rows(found)} == set(range(5))
+        assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert "text" not in Retrieval(spark, SF).docs.columns
+
+
+def test_postings_are_dealt_out_once(spark):
+    """Counts of documents come with the rows or from a table, not from a second shuffle of the rows."""
+    from stagefork.operators import retrieval as R
+
+    made = spark.createDataFrame([(1, 2.0, ["x", "y"]), (2, 3.0, ["x", "x", "z"]), (3, 0.0, [])], "doc_id long, doc_len double, tokens array<string>").localCheckpoint()
+    plain = R.postings(made, parts=4)
+    assert plain._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(term") == 1
+    assert set(rows(R.postings(made, parts=4, known=R.plain_vocabulary(made, 3)))) == set(rows(plain))
+    assert {(r.term, r.doc_id, r.tf, r.df) for r in plain.collect()} == {("x", 1, 1, 2), ("y", 1, 1, 1), ("x", 2, 2, 2), ("z", 2, 1, 1)}
+
+
+@pytest.mark.parametrize("stopwords", [("about",), None])
+def test_words_by_the_vocabulary_equal_words_by_documents(spark, stopwords):
+    r = Retrieval(spark, SF, **({} if stopwords is None else {"stopwords": stopwords}))
+    want = Counter(t for _, t, _ in rows(V.doc_tf(r)))
+    assert want and {w["term"]: w["df"] for w in V.word_vocabulary(r).collect()} == want
+    one = r.qrels.select("doc_id").limit(1)
+    assert set(rows(V.doc_tf(r, one))) == set(rows(V.doc_tf(r).join(one, "doc_id", "left_semi")))
