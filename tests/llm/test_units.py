@@ -371,3 +371,24 @@ def test_pairs_and_joining_by_plain_loops():
         return [[r == s for s in root] for r in root]
 
     assert groups(kept) == groups(links) and set(kept) <= set(links) and len(kept) < 30
+
+
+def test_stages_leave_no_tables_behind(spark, tmp_path, monkeypatch):
+    """A stage reads its predecessor's documents and tables of its own; afterwards only the last documents are on disk."""
+    from pathlib import Path
+
+    import corpus_pipeline
+    from stagefork.llm.common import saved, shared_dir
+
+    def stage(session, docs, sf_dir):
+        left = saved(docs.withColumn("n", docs.doc_id + 1), "own")
+        return saved(left.where("n > 1"), "more").select("doc_id")
+
+    shared = Path(shared_dir(spark))
+    before = set(shared.iterdir())
+    spark.range(5).toDF("doc_id").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("first one", stage), ("second", stage), ("last", lambda session, docs, sf_dir: docs)])
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert sorted(r.doc_id for r in got.collect()) == [1, 2, 3, 4]
+    assert [p.name.rpartition("-")[0] for p in set(shared.iterdir()) - before if not p.name.startswith(".")] == ["second"]
+    assert (tmp_path / "documents.parquet").exists()
