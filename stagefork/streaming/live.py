@@ -13,4 +13,5 @@ def serve(r: Retrieval, queries: DataFrame, path: str, checkpoint: str, first_st
     def rank(batch: DataFrame, _: int) -> None:
         r.run(r.plain(batch.dropDuplicates(["query_id"]), first_stage)).withColumnRenamed("world_id", "query_id").write.mode("append").parquet(path)
 
+    r.postings  # noqa: B018 - made once, so that no batch goes over the documents for its terms
     return queries.writeStream.foreachBatch(rank).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stagefork.operators import interventions as V
 from stagefork.plans import run as P
+from stagefork.operators import retrieval as R
 from stagefork.operators.worlds import Retrieval
 from stagefork.sources import artifacts as A, store as T
 
@@ -80,6 +81,21 @@ def test_scoring_shuffles_no_postings(spark, kept):
     assert scan and plan.count("Exchange hashpartitioning(term") == 1
 
 
+def test_a_run_keeps_postings_of_its_terms_alone(spark, kept):
+    """Scores need no table of all postings; those of the asked terms equal its rows, and a text of the same terms makes none anew."""
+    r = Retrieval(spark, SF)
+    texts = r.queries.select(F.col("query_text").alias("text"))
+    asked = [x["term"] for x in R.query_terms(texts).select("term").distinct().collect()]
+    found = r.posted(texts)
+    assert r.posted(texts.limit(1)) is found
+    assert r.baseline.count() and r.doc_vectors.count()
+    assert not list((kept / "store").glob("postings-*"))
+    got = sorted(map(tuple, found.collect()))
+    assert {x[0] for x in got} == set(asked)
+    assert got == sorted(map(tuple, r.postings.where(F.col("term").isin(*asked)).select(*found.columns).collect()))
+    assert sorted(map(tuple, r.doc_vectors.collect())) == sorted(map(tuple, R.hashed_vectors(r.corpus, "doc_id", "text").collect()))
+
+
 def test_baseline_runs_only_queries_that_lack(spark, kept, monkeypatch):
     worlds = []
     run = Retrieval.run
