@@ -392,3 +392,23 @@ def test_stages_leave_no_tables_behind(spark, tmp_path, monkeypatch):
     assert sorted(r.doc_id for r in got.collect()) == [1, 2, 3, 4]
     assert [p.name.rpartition("-")[0] for p in set(shared.iterdir()) - before if not p.name.startswith(".")] == ["second"]
     assert (tmp_path / "documents.parquet").exists()
+
+
+def test_shuffles_of_ended_plans_go(spark, tmp_path):
+    """What a table's plan shuffled isn't on disk any more some moments after `release`, once other plans have run."""
+    import time
+
+    from stagefork.llm.common import release
+
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {name for f in blocks.getAllFiles().mkString(" ").split() if (name := f.rsplit("/", 1)[-1]).startswith("shuffle_")}
+    before = shuffled()
+    spark.range(1000).repartition(3, "id").write.parquet(str(tmp_path / "t"))
+    made = shuffled() - before
+    assert made
+    ends = time.monotonic() + 20
+    while shuffled() & made and time.monotonic() < ends:
+        spark.range(1).count()  # the last plan may still be held
+        release(spark)
+        time.sleep(0.2)
+    assert not shuffled() & made
