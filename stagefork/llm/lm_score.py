@@ -20,6 +20,7 @@ document move on.
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -40,8 +41,8 @@ CONTEXTS = 1 << 21
 SWEEPS, SAMPLES = 3, 2
 #: Customers of a dish up to which its tables are drawn from the exact distribution; beyond, their mean follows the power of the number that this and half of it show.
 EXACT = 256
-#: Tokens and documents of a block; words, occurrences and documents worked on at a time.
-BLOCK_TOKENS, BLOCK_DOCS, WORDS, ENTRIES, SUMS = 3_000_000, 1 << 17, 200_000, 4_000_000, 1_000_000
+#: Tokens and documents of a block; words, occurrences and documents worked on at a time: in scoring, an occurrence takes some 250 bytes.
+BLOCK_TOKENS, BLOCK_DOCS, WORDS, ENTRIES, SUMS = 3_000_000, 1 << 17, 50_000, 1_000_000, 1_000_000
 #: An occurrence is 48 bits: document in its block, training flag, context, count.
 _N, _CTX, _BYTES = 9, 21, 6
 #: Sampled documents, share of their tokens from which a word is dealt in slices, and slices. They only say where a word is counted, not how.
@@ -64,22 +65,33 @@ def place_of(word: bytes) -> int:
     return 1 + xxhash.xxh3_64_intdigest(word) % (CONTEXTS - 1)
 
 
-def _packed(ids: list[int], sizes: list[int], train: list[bool], words: _Ids, sliced: dict[bytes, int]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Names of words or their slices, the place of each one's first entry, and the entries."""
-    word = np.array(ids, np.int64)
-    sizes, doc = np.array(sizes), np.repeat(np.arange(len(sizes)), sizes)
-    place = np.array([place_of(w) for w in words], np.int64)
-    ctx = np.r_[0, place[word[:-1]]]
+def _packed(ids: array, sizes: list[int], train: list[bool], words: _Ids, sliced: dict[bytes, int]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Names of words or their slices, the place of each one's first entry, and the entries.
+
+    A block's tokens are many, so keys are built and sorted where they are.
+    """
+    word = np.array(ids, np.int32)
+    sizes = np.array(sizes)
+    place = np.array([place_of(w) for w in words], np.int32)
+    ctx = np.zeros(len(word), np.int32)
+    np.take(place, word[:-1], out=ctx[1:])
     ctx[np.cumsum(sizes) - sizes] = 0
     names = [w.decode("utf-8", "surrogatepass") for w in words]
     for w in sliced.keys() & words.keys():  # a slice's name is the word's with a space and a number
         own = np.flatnonzero(word == words[w])
         word[own] = len(names) + ctx[own] % SLICED
         names += [f"{w.decode('utf-8', 'surrogatepass')} {k}" for k in range(SLICED)]
-    rest = (((doc << 1) | np.array(train, np.int64)[doc]) << _CTX) | ctx
+    rest = np.repeat(((np.arange(len(sizes)) << 1) | np.array(train, np.int64)) << _CTX, sizes)
+    rest |= ctx
+    del ctx
     if len(names) < 1 << 24:
-        key, n = np.unique((word << 39) | rest, return_counts=True)
-        word, rest = key >> 39, key & ((1 << 39) - 1)
+        rest |= word.astype(np.int64) << 39
+        rest.sort()
+        first = np.flatnonzero(np.r_[True, rest[1:] != rest[:-1]])
+        n, rest = np.diff(first, append=len(rest)).astype(np.int32), rest[first]
+        del first
+        word = (rest >> 39).astype(np.int32)
+        rest &= (1 << 39) - 1
     else:
         order = np.lexsort((rest, word))
         word, rest = word[order], rest[order]
@@ -91,7 +103,9 @@ def _packed(ids: list[int], sizes: list[int], train: list[bool], words: _Ids, sl
         word, rest, left = np.repeat(word, parts), np.repeat(rest, parts), np.repeat(n, parts)
         nth = np.arange(len(word)) - np.repeat(np.cumsum(parts) - parts, parts)
         n = np.minimum(most, left - nth * most)
-    return names, np.searchsorted(word, np.arange(len(names) + 1)), (rest << _N) | n
+    rest <<= _N
+    rest |= n
+    return names, np.searchsorted(word, np.arange(len(names) + 1, dtype=word.dtype)), rest
 
 
 def _unpacked(column: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,7 +138,7 @@ def frequent_words(docs: DataFrame, id_col: str, text_col: str) -> dict[bytes, i
 def tally(docs: DataFrame, id_col: str, text_col: str, train, sliced: dict[bytes, int]) -> DataFrame:
     """word, block, entries for every word of every block; where word is null, ids has the block's documents."""
 
-    def made(block: int, doc_ids: list, ids: list, sizes: list, train: list, words: _Ids) -> pa.RecordBatch:
+    def made(block: int, doc_ids: list, ids: array, sizes: list, train: list, words: _Ids) -> pa.RecordBatch:
         names, first, entries = _packed(ids, sizes, train, words, sliced)
         own = np.flatnonzero(np.diff(first))
         raw = np.ascontiguousarray(entries.view(np.uint8).reshape(-1, 8)[:, :_BYTES])
@@ -138,7 +152,7 @@ def tally(docs: DataFrame, id_col: str, text_col: str, train, sliced: dict[bytes
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 24
-        doc_ids, ids, sizes, flags, words = [], [], [], [], _Ids()
+        doc_ids, ids, sizes, flags, words = [], array("i"), [], [], _Ids()
         for batch in slices(batches, 1):
             for doc_id, text, flag in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 own = tokens(text)
@@ -146,7 +160,7 @@ def tally(docs: DataFrame, id_col: str, text_col: str, train, sliced: dict[bytes
                 if doc_ids and (len(ids) + len(own) > BLOCK_TOKENS or len(doc_ids) == BLOCK_DOCS):
                     yield made(block, doc_ids, ids, sizes, flags, words)
                     block += 1
-                    doc_ids, ids, sizes, flags, words = [], [], [], [], _Ids()
+                    doc_ids, ids, sizes, flags, words = [], array("i"), [], [], _Ids()
                 ids.extend(map(words.__getitem__, own))
                 doc_ids.append(doc_id)
                 sizes.append(len(own))
@@ -217,7 +231,7 @@ def seated(c: np.ndarray, prior: np.ndarray, discount: float, mass: np.ndarray,
         return np.exp(logs - logs.max(axis=1, keepdims=True))
 
     def pieces(at: np.ndarray, size: int) -> Iterator[np.ndarray]:
-        step = max(1, (1 << 21) // size)
+        step = max(1, (1 << 19) // size)
         return (at[i:i + step] for i in range(0, len(at), step))
 
     several = np.flatnonzero((c > 1) & (c <= EXACT))
@@ -473,9 +487,12 @@ def scored_parts(tallied: DataFrame, corpus: Corpus) -> DataFrame:
             base = np.log10((count[owner] + 1) / (corpus.n + corpus.v + 1))
             held.append(_by_document(block, doc, n, n * (count[owner] > 0), n * base, n * np.log10(p)))
             size += len(held[-1][0])
-            if size > SUMS:
-                yield _batch(_by_document(*(np.concatenate(c) for c in zip(*held, strict=True))))
-                held, size = [], 0
+            if size > SUMS:  # documents come again with other words; sums go when there are too many of them, not of their parts
+                held = [_by_document(*(np.concatenate(c) for c in zip(*held, strict=True)))]
+                size = len(held[0][0])
+                if size > SUMS // 2:
+                    yield _batch(held[0])
+                    held, size = [], 0
         if held:
             yield _batch(_by_document(*(np.concatenate(c) for c in zip(*held, strict=True))))
 

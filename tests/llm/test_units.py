@@ -412,3 +412,20 @@ def test_shuffles_of_ended_plans_go(spark, tmp_path):
         release(spark)
         time.sleep(0.2)
     assert not shuffled() & made
+
+
+def test_packing_a_block_of_tokens_takes_little_memory():
+    import tracemalloc
+    from array import array
+
+    words, n = M._Ids(), 400_000
+    ids = [words[b"w%d" % k] for k in np.random.default_rng(1).integers(0, 1000, n).tolist()]
+    ids, docs = array("i", ids), n // 400
+    tracemalloc.start()
+    try:
+        names, first, entries = M._packed(ids, [400] * docs, [True] * docs, words, {})
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert (entries & ((1 << M._N) - 1)).sum() == n and first[-1] == len(entries) and len(names) == 1000
+    assert most < 56 * n
