@@ -486,3 +486,16 @@ def test_pipeline(spark, odd, none, tmp_path, folder):
             assert abs(words(after) - words(before)) <= 4 * 64 * 8
         if k == 4:
             assert all(r["round_trip"] for r in after) and {r["doc_id"] for r in after} == {r["doc_id"] for r in before}
+
+
+def test_exact_dedup_digests_a_text_once_for_a_join(spark):
+    """A join on the digest doesn't filter rows by a digest of its own, and white space goes without taking texts apart."""
+    from stagefork.llm import exact_dedup
+
+    blanks = "".join(map(chr, range(9, 14)))
+    docs = spark.createDataFrame([(1, f"a b{blanks}é \U0001F600{blanks}"), (2, None), (3, "\x00\x08\x0e\x1c\x85\xa0")], "doc_id long, text string")
+    found = exact_dedup.digested(docs, "doc_id", "text")
+    assert {r.doc_id: r.norm for r in found.collect()} == {1: "abé\U0001F600", 2: "", 3: "\x00\x08\x0e\x1c\x85\xa0"}
+    joined = found.join(spark.createDataFrame([("x",)], "digest string").hint("shuffle_hash"), "digest")
+    plan = joined._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("sha2(") == 1 and "translate(" not in plan
