@@ -429,3 +429,19 @@ def test_packing_a_block_of_tokens_takes_little_memory():
         tracemalloc.stop()
     assert (entries & ((1 << M._N) - 1)).sum() == n and first[-1] == len(entries) and len(names) == 1000
     assert most < 56 * n
+
+
+def test_a_saved_tables_shuffles_go_with_its_plan(spark):
+    """What `saved` shuffled goes without a collection or a later plan, and the session's setting stays."""
+    import time
+
+    from stagefork.llm.common import CLEANUP, saved
+
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {name for f in blocks.getAllFiles().mkString(" ").split() if (name := f.rsplit("/", 1)[-1]).startswith("shuffle_")}
+    before, setting = shuffled(), spark.conf.get(CLEANUP)
+    table = saved(spark.range(1000).repartition(3, "id"), "t")
+    ends = time.monotonic() + 5
+    while shuffled() - before and time.monotonic() < ends:
+        time.sleep(0.1)
+    assert not shuffled() - before and table.count() == 1000 and spark.conf.get(CLEANUP) == setting
