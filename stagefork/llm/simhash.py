@@ -152,16 +152,22 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def probes(fps: DataFrame, groups: list[list[int]], chosen: list[int], wanted: np.ndarray | None = None) -> DataFrame:
-    """part, key, fp, near: `near` marks the keys within the smaller half of the part's threshold.
-
-    With `wanted`, a filter over keys, only keys that it lets through.
-    """
+def part_flips(groups: list[list[int]], chosen: list[int]) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Number, mask and flips of each probed part; `near` marks the flips within the smaller half of its threshold."""
     plans = []
     for part, (group, t) in enumerate(zip(groups, chosen, strict=True)):
         if t >= 0:
             flips = [(_signed(sum(1 << b for b in c)), r <= t // 2) for r in range((t + 1) // 2 + 1) for c in combinations(group, r)]
             plans.append((part, _signed(sum(1 << b for b in group)), np.array([f for f, _ in flips], np.int64), np.array([n for _, n in flips])))
+    return plans
+
+
+def probes(fps: DataFrame, groups: list[list[int]], chosen: list[int], wanted: np.ndarray | None = None) -> DataFrame:
+    """part, key, fp, near: `near` marks the keys within the smaller half of the part's threshold.
+
+    With `wanted`, a filter over keys, only keys that it lets through.
+    """
+    plans = part_flips(groups, chosen)
     shared = None if wanted is None else fps.sparkSession.sparkContext.broadcast(wanted)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
