@@ -1,6 +1,7 @@
 """The experiment's invariants, and every query against its SQL, on the smallest tables."""
 
 from collections import Counter
+from types import SimpleNamespace
 
 import duckdb
 import pytest
@@ -136,3 +137,13 @@ def test_stream_of_queries(spark, r, tmp_path):
 def test_log_checks(r):
     found = D.failed_checks(V.intervention_log(r), D.log_checks()).collect()
     assert {x["check"]: x["n_failed"] for x in found} == dict.fromkeys(D.log_checks(), 0)
+
+
+def test_extremes_take_all_queries(spark, monkeypatch):
+    """Every query is rewritten for the extremes, those beyond the sample of the stability report, too, in code and SQL."""
+    many = SimpleNamespace(queries=spark.range(120).selectExpr("id query_id", "cast(id as string) query_text"))
+    assert S.sampled(many, None).count() == 120 and S.sampled(many).count() == S.QUERIES
+    asked, raw = [], S.stability_raw
+    monkeypatch.setattr(S, "stability_raw", lambda r, n=S.QUERIES: asked.append(n) or raw(r, n))
+    assert queries.queries()["extremes"](spark, DATA).count() == 1 and asked == [None]
+    assert " LIMIT 50" not in oracle.sql()["extremes"] and " LIMIT 50" in oracle.sql()["stability_raw"]
